@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, token_binary
+from . import bpe, exact_dedup, mixing, simhash, token_binary
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         mixing.op2_mixing,
+        exact_dedup.op3_exact_dedup,
         token_binary.op8_token_binary,
+        simhash.op9_simhash,
         bpe.op10_bpe,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL}
+    return {"op2_mixing": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL}
