@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, simhash, token_binary
+from . import bpe, embed_dedup, exact_dedup, mixing, simhash, token_binary, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         mixing.op2_mixing,
         exact_dedup.op3_exact_dedup,
+        toxicity.op4_toxicity,
+        embed_dedup.op5_embedding_dedup,
         token_binary.op8_token_binary,
         simhash.op9_simhash,
         bpe.op10_bpe,
