@@ -227,14 +227,14 @@ def tile_groups(members: DataFrame, group: str, node: str) -> DataFrame:
     return m.withColumn("tile_a", F.least("_t", "_o")).withColumn("tile_b", F.greatest("_t", "_o")).drop("_n", "_o")
 
 
-def verify_groups(members: DataFrame, group: str, node: str, prepare: Callable, linked: Callable) -> DataFrame:
+def verify_groups(members: DataFrame, group: str, node: str, fp: str, tau: int, prepare: Callable, linked: Callable) -> DataFrame:
     """Verified links ``(a, b)`` between nodes of the same group, as stars.
 
-    ``members``: group, node (both long) and payload columns, one row per node. ``prepare``
-    turns a tile's table into a list of items, ``linked(x, y)`` decides on two items. Pairs
-    that are already connected inside the tile need no check, so a group of thousands of
-    copies costs about one check for each member; pairs that are not connected are all
-    checked, so no link that matters for the components is lost.
+    ``members``: group, node, fp (all long) and payload columns, one row per node. Pairs whose
+    fingerprints differ in at most ``tau`` bits are decided by ``linked(x, y)`` on the items that
+    ``prepare`` makes of a tile's table. Pairs that are already connected inside the tile need no
+    check, so a group of thousands of copies costs about one check for each member; all other
+    pairs are checked, so no link that matters for the components is lost.
     """
     tiled = tile_groups(members, group, node)
     keys = [group, "tile_a", "tile_b"]
@@ -244,24 +244,14 @@ def verify_groups(members: DataFrame, group: str, node: str, prepare: Callable,
         out_a, out_b = [], []
         for s, e in zip(starts, starts[1:], strict=False):
             part = t.slice(s, e - s).combine_chunks()
-            ids = part.column(node).to_pylist()
+            ids, bits = part.column(node).to_pylist(), part.column(fp).to_numpy().view(np.uint64)
             items, forest = prepare(part), Forest(len(ids))
-            leaders: list[list[int]] = []  # one list for each connected set so far
-            order = range(len(ids))
-            for i in order:
-                hit = []
-                for k, members_ in enumerate(leaders):
-                    # the latest member first: copies of a copy are often closest to it
-                    if any(linked(items[i], items[j]) for j in reversed(members_)):
-                        hit.append(k)
-                if not hit:
-                    leaders.append([i])
-                    continue
-                for k in hit:
-                    forest.join(i, leaders[k][0])
-                merged = [j for k in hit for j in leaders[k]] + [i]
-                leaders = [m for k, m in enumerate(leaders) if k not in set(hit)] + [merged]
-            for i in order:
+            for i in range(1, len(ids)):
+                # the latest first: copies of a copy are often closest to it
+                for j in np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= tau)[::-1].tolist():
+                    if forest.find(i) != forest.find(j) and linked(items[i], items[j]):
+                        forest.join(i, j)
+            for i in range(len(ids)):
                 r = forest.find(i)
                 if r != i:
                     out_a.append(ids[i])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, exact_dedup, mixing, simhash, token_binary, toxicity
+from . import bpe, embed_dedup, exact_dedup, line_dedup, mixing, simhash, token_binary, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         exact_dedup.op3_exact_dedup,
         toxicity.op4_toxicity,
         embed_dedup.op5_embedding_dedup,
+        line_dedup.op7_line_dedup,
         token_binary.op8_token_binary,
         simhash.op9_simhash,
         bpe.op10_bpe,

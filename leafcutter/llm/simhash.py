@@ -301,19 +301,16 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     members = roots.join(texts, "node").join(nodes.select("node", "fp"), "node").select(F.col("root").alias("grp"), "node", "fp", "_text")
 
     def prepare(t: pa.Table):
-        sets = [np.unique(np.array(shingle_hashes(x, words), dtype=np.uint64)) for x in t.column("_text").to_pylist()]
-        return list(zip(t.column("fp").to_numpy().view(np.uint64).tolist(), sets, strict=True))
+        return [np.unique(np.array(shingle_hashes(x, words), dtype=np.uint64)) for x in t.column("_text").to_pylist()]
 
-    def linked(x, y) -> bool:
-        if (x[0] ^ y[0]).bit_count() > tau:
-            return False
-        small, large = sorted((len(x[1]), len(y[1])))
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        small, large = sorted((len(x), len(y)))
         if small < similarity * large:
             return False
-        both = len(np.intersect1d(x[1], y[1], assume_unique=True))
+        both = len(np.intersect1d(x, y, assume_unique=True))
         return both >= similarity * (small + large - both)
 
-    return cut(connected_components(verify_groups(members, "grp", "node", prepare, linked)))
+    return cut(connected_components(verify_groups(members, "grp", "node", "fp", tau, prepare, linked)))
 
 
 #: Keys up to which a side is broadcast (16 bytes each: 32 MB at most).
