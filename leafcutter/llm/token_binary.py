@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import shared_spec, slices, worker_encoder
+from .bpe import give_back_memory, shared_spec, slices, worker_encoder
 from .common import cut, ensure_checkpoint_dir, table
 
 MAGIC = b"LCIDS8B1"
 BLOCK = 128
-FILE_IDS = 2_000_000
+FILE_IDS = 1_000_000
 #: Ids per word and bits per id, by selector; selector 14 marks an escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
@@ -46,6 +46,8 @@ END_ID = 1
 
 def widths(values: np.ndarray) -> np.ndarray:
     """Bits that each unsigned 64-bit value needs."""
+    if not values.size or int(values.max()) < 1 << 16:
+        return SMALL_WIDTHS[values]
     out = np.zeros(values.shape, dtype=np.uint8)
     rest = values.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -55,6 +57,9 @@ def widths(values: np.ndarray) -> np.ndarray:
     return out + (values > 0)
 
 
+SMALL_WIDTHS = np.array([x.bit_length() for x in range(1 << 16)], dtype=np.uint8)
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, the first word of each block, and escaped values."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
@@ -73,14 +78,15 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = most[k // 2].copy()
         m[:, : -(k // 2)] = np.maximum(m[:, : -(k // 2)], m[:, k // 2 :])
         most[k] = m
-    select = np.full((blocks, BLOCK), ESCAPE, dtype=np.uint8)
-    for s in range(ESCAPE - 1, -1, -1):
+    # a selector that fits stays fitting with fewer, wider ids, so the first one is their number that fail
+    select = np.zeros((blocks, BLOCK), dtype=np.uint8)
+    for s in range(ESCAPE):
         c = int(COUNTS[s])
         k = 1 << (c.bit_length() - 1)
         top = most[k][:, :BLOCK]
         if k < c:
             top = np.maximum(top, most[k][:, c - k : c - k + BLOCK])
-        select[top <= BITS[s]] = s
+        select += top > BITS[s]
     ends = np.full(blocks, BLOCK)
     ends[-1] = n - (blocks - 1) * BLOCK
     at, live = np.zeros(blocks, dtype=np.int64), np.arange(blocks)
@@ -91,7 +97,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     while len(live):
         s = select[live, at[live]]
         words = s.astype(np.uint64) << np.uint64(60)
-        for x in np.unique(s):
+        for x in np.flatnonzero(np.bincount(s)):
             rows = np.flatnonzero(s == x)
             b, c = live[rows], int(COUNTS[x])
             if x == ESCAPE:
@@ -199,7 +205,7 @@ def write_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     spark = docs.sparkSession
     spec = shared_spec(spark, path)
     folder = folder or f"{as_uri(ensure_checkpoint_dir(spark)).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], dtype="<u4")
 
     def work(batches):
         enc, me = worker_encoder(spec), TaskContext.get()
@@ -208,28 +214,35 @@ def write_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
 
         def flush():
             uri = f"{folder}/part-{part:06d}-{seq:06d}-{attempt:08x}.ids"
-            write_file(uri, pack(doc_ids, lengths, np.frombuffer(b"".join(raw), dtype="<u4")))
+            write_file(uri, pack(doc_ids, lengths, np.concatenate(raw)))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "uri": [uri], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([held], pa.int64())})
 
         for b in slices(batches, "_text"):
-            got = enc.encode_bytes([t or "" for t in b.column("_text").to_pylist()])
-            for d, x in zip(b.column("_key").to_pylist(), got, strict=True):
-                doc_ids.append(d)
-                raw.append(x + end)
-                lengths.append(len(raw[-1]) // 4)
-                held += lengths[-1]
+            flat, edges = enc.encode_array(b.column("_text"))
+            n = np.diff(edges)
+            if len(end):  # the end id after each text's ids
+                flat = np.insert(flat, edges[1:], end)
+            doc_ids += b.column("_key").to_pylist()
+            lengths += (n + len(end)).tolist()
+            raw.append(flat)
+            held += len(flat)
             if held >= FILE_IDS:
                 yield flush()
                 seq, doc_ids, lengths, raw, held = seq + 1, [], [], [], 0
+                give_back_memory()
         if doc_ids:
             yield flush()
+        raw = []
+        give_back_memory()
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).repartitionByRange("_key").sortWithinPartitions("_key", "_text")
     files = cut(rows.mapInArrow(work, "part int, seq int, uri string, n_docs long, n_ids long"))
     before = (Window.unboundedPreceding, -1)
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("all"))
     parts = parts.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("_p"))
-    return files.join(parts, "part").withColumn("start", F.col("_p") + F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(*before)), F.lit(0))).drop("_p")
+    files = files.join(parts, "part").withColumn("start", F.col("_p") + F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(*before)), F.lit(0))).drop("_p")
+    # an explicit number, as a manifest is small but its files are not
+    return files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "uri")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
