@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from .operators import txt
 from .operators.outline import BUILDERS, Chunk
 from .options import FAMILIES, FAMILY_OF, ChunkError, ChunkOptions, Unsupported, extension
-from .sources import csv, markdown
+from .sources import csv, html, markdown
 from .sources import json as json_source
 from .sources.decode import decode_text
 
 #: Families that have a loader here.
-AVAILABLE = ("txt", "md", "csv", "json")
+AVAILABLE = ("txt", "md", "html", "csv", "json")
 
 
 def family_of(name: str) -> str:
@@ -47,6 +47,8 @@ def document_markdown(name: str, data: bytes | str, o: ChunkOptions | None = Non
     if family == "json":
         records = json_source.document_records if extension(name) == "json" else json_source.line_records
         return json_source.markdown(records(data))
+    if family == "html":
+        return html.markdown(data)
     return markdown.front_matter_off(_text(data)) if family == "md" else _text(data)
 
 
@@ -67,6 +69,8 @@ def document_chunks(name: str, data: bytes | str, o: ChunkOptions) -> list[Chunk
         for c in made:
             c.metadata["document_metadata"] = {"source_type": extension(name), "record_count": len(records)}
         return made
+    if family == "html":
+        return BUILDERS[o.mode](html.units(data), html.RULES, o)
     text = _text(data)
     rules = txt.RULES if family == "txt" else markdown.RULES
     units = txt.units(text) if family == "txt" else markdown.units(text)

@@ -43,6 +43,11 @@ class Rules:
     )
     #: Lists go on from prose instead of standing alone.
     lists_join: bool = False
+    #: Semantic chunks start with their heading; others below a size are dropped before numbering.
+    heading_seeds: bool = False
+    least_size: int = 0
+    #: Structural chunks carry all headings above them.
+    with_path: bool = False
 
 
 @dataclass
@@ -76,7 +81,8 @@ def structural(units: list[Unit], rules: Rules, o: ChunkOptions) -> list[Chunk]:
     used = 0
 
     def meta(heading):
-        return {"footnotes_captions": [], "page_number": None, "section_heading": heading, "document_metadata": {"source_type": rules.source}}
+        out = {"footnotes_captions": [], "page_number": None, "section_heading": heading, "document_metadata": {"source_type": rules.source}}
+        return out | {"heading_path": path, "section_level": depth} if rules.with_path else out
 
     def close(heading):
         nonlocal used
@@ -86,12 +92,12 @@ def structural(units: list[Unit], rules: Rules, o: ChunkOptions) -> list[Chunk]:
         if content:
             made.append(Chunk(content, T.prose_kind(content), meta(heading)))
 
-    heading = None
+    heading, path, depth = None, [], 0
     for u in units:
         if u.kind not in PROSE:
             close(heading)
             if u.level is not None:
-                heading = u.text
+                heading, path, depth = u.text, u.path, u.level
             made.append(Chunk(u.text, u.kind, meta(None if u.level is not None else heading)))
             continue
         for part in T.at_sentences(u.text, CHUNK_SIZE) if T.size(u.text) > CHUNK_SIZE else [u.text]:
@@ -152,10 +158,12 @@ def section(units: list[Unit], rules: Rules, o: ChunkOptions) -> list[Chunk]:
     return out
 
 
-def merge_reason(text: str, held: list[str], held_size: int, known: set[str], rules: Rules, is_list: bool = False) -> str | None:
+def merge_reason(text: str, held: list[str], held_size: int, known: set[str], rules: Rules, is_list: bool = False, after_heading: bool = False) -> str | None:
     """Why a paragraph goes on from those held, or None for a break; the first rule decides."""
     if held_size + T.size(text) + 2 > T.SEMANTIC_SIZE:
         return None
+    if after_heading:
+        return "heading_merge"
     start = text.lstrip(T.WHITE)
     if T.starts_with(start, T.TRANSITION_BREAKS):
         return None
@@ -182,6 +190,7 @@ def semantic(units: list[Unit], rules: Rules, o: ChunkOptions) -> list[Chunk]:
     known: set[str] = set()
     used = 0
     at: Unit | None = None
+    seeded = False
 
     def close():
         if not held:
@@ -190,6 +199,17 @@ def semantic(units: list[Unit], rules: Rules, o: ChunkOptions) -> list[Chunk]:
         reasons = [r for _, r in held if r != "initial"]
         ranked = sorted(Counter(reasons).items(), key=lambda x: (-x[1], x[0]))
         words = max(1, len([w for w in content.translate(_TO_SPACE).split(" ") if w]))
+        if rules.heading_seeds:
+            bare = seeded and len(held) == 1
+            first = "heading" if bare else ranked[0][0] if ranked else "initial"
+            if bare or T.size(T.strip(content)) >= rules.least_size:
+                out.append(Chunk(content, "heading" if bare else "semantic", {
+                    "section_heading": at.above if seeded else at.heading, "heading_path": at.path, "section_level": at.depth, "paragraph_count": len(held),
+                    "merge_reasons": list(dict.fromkeys(reasons)), "primary_merge_reason": first, "merge_reason": first,
+                    "keyword_density": int(len(known) / words * 1000 + 0.5) / 1000, "chunk_index": len(out), "has_body_content": not bare, "document_metadata": _doc(rules, total),
+                }))
+            held.clear()
+            return
         out.append(Chunk(content, "semantic", {
             "section_heading": at.heading, "heading_path": at.path, "section_level": at.depth, "paragraph_count": len(held),
             "merge_reasons": list(dict.fromkeys(reasons)), "primary_merge_reason": ranked[0][0] if ranked else "initial",
@@ -199,17 +219,24 @@ def semantic(units: list[Unit], rules: Rules, o: ChunkOptions) -> list[Chunk]:
         held.clear()
 
     for u in units:
-        if u.level is not None:
+        if u.level is not None and rules.heading_seeds:
+            close()
+            at, used, known, seeded = u, T.size(u.text), set(), True
+            held.append((u.text, "initial"))
+        elif u.level is not None:
             close()
             out.append(Chunk(u.text, "heading", {"section_heading": u.path[-2] if len(u.path) > 1 else None, "heading_path": u.path, "section_level": u.level, "paragraph_count": 0, "merge_reasons": [], "primary_merge_reason": "initial", "keyword_density": 0.0, "avg_block_length": T.size(u.text), "chunk_index": len(out), "document_metadata": _doc(rules, total)}))
         elif u.kind not in PROSE and not (rules.lists_join and u.kind == "bullet_list"):
             close()
-            out.append(Chunk(u.text, u.kind, {"section_heading": u.heading, "heading_path": u.path, "chunk_index": len(out), "document_metadata": _doc(rules, total)}))
+            if not rules.heading_seeds:
+                out.append(Chunk(u.text, u.kind, {"section_heading": u.heading, "heading_path": u.path, "chunk_index": len(out), "document_metadata": _doc(rules, total)}))
+            elif T.size(T.strip(u.text)) >= rules.least_size:
+                out.append(Chunk(u.text, u.kind, {"section_heading": u.heading, "heading_path": u.path, "section_level": u.depth, "footnotes_captions": [], "page_number": None, "document_metadata": {"source_type": rules.source}}))
         elif text := T.strip(u.text):
-            reason = merge_reason(text, [t for t, _ in held], used, known, rules, u.kind == "bullet_list") if held else None
+            reason = merge_reason(text, [t for t, _ in held], used, known, rules, u.kind == "bullet_list", seeded and len(held) == 1) if held else None
             if reason is None:
                 close()
-                at, used, known = u, T.size(text), set(T.keywords(text))
+                at, used, known, seeded = u, T.size(text), set(T.keywords(text)), False
                 held.append((text, "initial"))
             else:
                 used += T.size(text) + 2

@@ -323,6 +323,18 @@ for _m in ("structural", "section", "semantic", "sentence", "page_aware", "slidi
     _mode(_m, _m)
 
 
+def _html(name: str) -> None:
+    def run(spark, sf_dir):
+        return api.chunk(read(spark, sf_dir, "pages", "page_id", "html"), key="page_id", content="html", family="html", mode=name)
+
+    run.__name__ = f"html_{name}"
+    QUERIES[run.__name__] = run
+
+
+for _m in ("structural", "section", "semantic", "sentence", "page_aware", "sliding_window"):
+    _html(_m)
+
+
 def _md(name: str) -> None:
     def run(spark, sf_dir):
         c = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").groupBy("conv_id")

@@ -7,7 +7,7 @@ import pytest
 from leafcutter import api
 from leafcutter.operators import txt
 from leafcutter.options import ChunkOptions, InvalidArg, Unsupported
-from leafcutter.sources import csv, markdown
+from leafcutter.sources import csv, html, markdown
 from leafcutter.sources import json as js
 from leafcutter.sources.decode import decode_text
 
@@ -147,3 +147,34 @@ def test_files_and_markdown(spark, tmp_path):
     assert {r.path.rpartition("/")[2] for r in got} == {"a.csv", "b.md"}
     df = spark.createDataFrame([("a.csv", "name,size of it\nx|y,1\n")], "name string, text string")
     assert api.to_markdown(df, name="name").first().markdown.split("\n")[2] == "| x\\|y | 1 |"
+
+
+@pytest.mark.parametrize("mode", MODES)
+@pytest.mark.parametrize("text", ["", "<html><head><title> </title></head><body><div><span> </span></div></body></html>", "<!-- x", "<script>a<b</script>"])
+def test_markup_without_text_gives_nothing(text, mode):
+    assert api.document_chunks("a.html", text, ChunkOptions(mode=mode)) == []
+
+
+def test_html_blocks():
+    page = "<h1>A &amp; B</h1><p>one<p>two <b>bold</b><ul><li>x<li>y</ul><pre>c  d\n</pre>loose <i>text</i><div>next</div><script>var t='<q>'</script><style>p{}</style>tail"
+    assert [(k, t) for k, t, _, _ in html.blocks(page)] == [("heading", "A & B"), ("paragraph", "one"), ("paragraph", "two bold"), ("list", "x\ny"), ("code", "c  d"), ("paragraph", "loose text\nnext"), ("paragraph", "tail")]
+
+
+def test_html_nested_table_stays_in_its_cell():
+    page = "<table><tr><th>h</th><td>a<table><tr><td>x</td><td>y</td></tr><tr><td>z</td></tr></table></td></tr><tr><td>c</td></tr></table>"
+    assert html.blocks(page) == [("table", "h | a x | y / z\nc", None, False)]
+
+
+def test_html_semantic_starts_with_headings_and_drops_crumbs():
+    got = api.document_chunks("a.htm", "<h2>Head</h2><p>First paragraph that is long enough.</p><p>tiny</p><h2>Alone</h2>", ChunkOptions(mode="semantic"))
+    assert [c.content_type for c in got] == ["semantic", "heading"]
+    assert got[0].metadata["merge_reasons"] == ["heading_merge", "short_paragraph"] and got[1].metadata["has_body_content"] is False
+
+
+@pytest.mark.parametrize(("data", "want"), [("<meta charset=windows-1251><p>Привет".encode("cp1251"), "Привет"), ("<p>Grüße".encode(), "Grüße"), ("<p>abc</p>".encode("utf-16"), "abc")])
+def test_html_charsets(data, want):
+    assert html.blocks(html.decode(data))[0][1] == want
+
+
+def test_html_markdown():
+    assert html.markdown("<h2>T</h2><ol><li>a<li>b</ol><table><tr><th>x</th><th>y</th></tr><tr><td>1</td><td>2</td></tr></table>") == "## T\n\n1. a\n2. b\n\n| x | y |\n| --- | --- |\n| 1 | 2 |"
