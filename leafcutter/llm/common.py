@@ -93,31 +93,45 @@ def bit_majority(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------- grouped processing
 
 
-def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables that hold whole groups only, from batches sorted by ``keys``."""
-    held: list[pa.RecordBatch] = []
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int | None = None, over: list | None = None) -> Iterator[pa.Table]:
+    """Tables that hold whole groups only, from batches sorted by ``keys``.
+
+    With ``limit``, a group that outgrows it is not gathered: its key goes to ``over``.
+    """
+    held: list[pa.RecordBatch] = []  # rows of one group, the last so far
     last: tuple | None = None
+    skipped: tuple | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         ends = [batch.column(k) for k in keys]
         first = tuple(c[0].as_py() for c in ends)
         tail = tuple(c[batch.num_rows - 1].as_py() for c in ends)
-        if held and first != last:
-            yield pa.Table.from_batches(held)
-            held = []
-        if first == tail:
-            held.append(batch)
-        else:
-            new = np.zeros(batch.num_rows, dtype=bool)
+        new = np.zeros(batch.num_rows, dtype=bool)
+        if first != tail:
             for c in ends:
                 v = c.to_numpy(zero_copy_only=False)
                 new[1:] |= v[1:] != v[:-1]
-            at = int(np.flatnonzero(new)[-1])
+        start = 0
+        if first == skipped:
+            if first == tail:
+                continue
+            start = int(np.flatnonzero(new)[0])
+            batch, new = batch.slice(start), new[start:]
+            first = tuple(batch.column(k)[0].as_py() for k in keys)
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        at = int(np.flatnonzero(new[1:])[-1]) + 1 if first != tail else 0
+        if at:
             held.append(batch.slice(0, at))
             yield pa.Table.from_batches(held)
-            held = [batch.slice(at)]
+            held = []
+        held.append(batch.slice(at))
         last = tail
+        if limit and sum(x.num_rows for x in held) > limit:
+            over.append(tail)
+            held, skipped = [], tail
     if held:
         yield pa.Table.from_batches(held)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import bit_majority, connected_components, cut, fresh_names, group_starts, local_roots, stream_groups, table, verify_groups
+from .common import bit_majority, connected_components, cut, fresh_names, group_starts, local_roots, runs_of, table, verify_groups
 
 SEED = 42
 #: Fingerprints in the sample on which costs are estimated.
@@ -202,10 +202,11 @@ def dealt_again(keyed: DataFrame, plan: list[tuple[list[int], int]], tau: int, l
     return keyed.mapInArrow(work, "bucket long, part int, node long, fp long")
 
 
-def links_in_buckets(keyed: DataFrame, tau: int) -> DataFrame:
-    """Stars ``(a, b)`` over nodes of a bucket that are connected by links within ``tau`` bits."""
+def links_in_buckets(keyed: DataFrame, tau: int, limit: int | None = None) -> DataFrame:
+    """Stars ``(a, b)`` over nodes of a bucket that are connected by links within ``tau`` bits.
+    A bucket of over ``limit`` rows is only named: ``(bucket, null)``."""
 
-    def work(t: pa.Table):
+    def links(t: pa.Table):
         fp = t.column("fp").to_numpy().view(np.uint64)
         node = t.column("node").to_numpy()
         n = len(fp)
@@ -241,7 +242,16 @@ def links_in_buckets(keyed: DataFrame, tau: int) -> DataFrame:
         ok = a != b
         return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
-    return stream_groups(keyed, ["bucket"], work, "a long, b long")
+    def walk(batches):
+        over: list[tuple[int]] = []
+        for t in runs_of(batches, ["bucket"], limit, over):
+            out = links(t)
+            if out is not None and out.num_rows:
+                yield out
+        if over:
+            yield pa.RecordBatch.from_arrays([pa.array([k for (k,) in over], pa.int64()), pa.nulls(len(over), pa.int64())], ["a", "b"])
+
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(walk, "a long, b long")
 
 
 def link_fingerprints(rows: DataFrame, tau: int, banded: bool = False) -> DataFrame:
@@ -252,17 +262,15 @@ def link_fingerprints(rows: DataFrame, tau: int, banded: bool = False) -> DataFr
     total = rows.count()
     sample = [r.fp for r in rows.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()]
     plan = plan_partitions(np.array(sample, dtype=np.int64).view(np.uint64), total if not banded else max(2, total // 8), tau)
-    keyed, found = block_keys(rows, plan, banded), []
+    keyed, out = block_keys(rows, plan, banded), None
     for level in range(3):
-        hot = cut(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("bucket")) if total > HOT and level < 2 else None
-        if hot is None or hot.isEmpty():
-            found.append(links_in_buckets(keyed, tau))
+        found = cut(links_in_buckets(keyed, tau, HOT if level < 2 else None))
+        links = found.where(F.col("b").isNotNull())
+        out = links if out is None else out.union(links)
+        hot = found.where(F.col("b").isNull()).select(F.col("a").alias("bucket"))
+        if hot.isEmpty():
             break
-        found.append(links_in_buckets(keyed.join(hot, "bucket", "left_anti"), tau))
         keyed = dealt_again(keyed.join(hot, "bucket", "left_semi"), plan, tau, level)
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
     return out
 
 
