@@ -73,11 +73,15 @@ def record(kind: str, url: str | None, page: int | None, date: str, digest: str,
 
 def records(data: bytes):
     """``(offset, headers, payload)`` of each record of an archive."""
-    at = 0
+    view, at = memoryview(data), 0
     while at < len(data):
-        d = zlib.decompressobj(31)
-        raw = d.decompress(data[at:] if at == 0 else memoryview(data)[at:])
-        end = len(data) - len(d.unused_data)
+        d, end, parts = zlib.decompressobj(31), at, []
+        while not d.eof and end < len(data):  # in pieces, as what is left over is copied
+            piece = view[end : end + 32_768]
+            parts.append(d.decompress(piece))
+            end += len(piece)
+        end -= len(d.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         block = rest[: int(headers["Content-Length"])]
