@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from .operators import txt
 from .operators.outline import BUILDERS, Chunk
 from .options import FAMILIES, FAMILY_OF, ChunkError, ChunkOptions, Unsupported, extension
-from .sources import csv, html, markdown
+from .sources import csv, html, ipynb, markdown
 from .sources import json as json_source
 from .sources.decode import decode_text
 
 #: Families that have a loader here.
-AVAILABLE = ("txt", "md", "html", "csv", "json")
+AVAILABLE = ("txt", "md", "html", "csv", "json", "ipynb")
 
 
 def family_of(name: str) -> str:
@@ -49,6 +49,8 @@ def document_markdown(name: str, data: bytes | str, o: ChunkOptions | None = Non
         return json_source.markdown(records(data))
     if family == "html":
         return html.markdown(data)
+    if family == "ipynb":
+        return ipynb.load(data).markdown
     return markdown.front_matter_off(_text(data)) if family == "md" else _text(data)
 
 
@@ -69,6 +71,12 @@ def document_chunks(name: str, data: bytes | str, o: ChunkOptions) -> list[Chunk
         for c in made:
             c.metadata["document_metadata"] = {"source_type": extension(name), "record_count": len(records)}
         return made
+    if family == "ipynb":
+        nb = ipynb.load(data)
+        made = BUILDERS[o.mode](markdown.units(nb.markdown, front_matter=False), markdown.RULES, o)
+        for c in made:
+            c.metadata["document_metadata"] = nb.meta
+        return made
     if family == "html":
         return BUILDERS[o.mode](html.units(data), html.RULES, o)
     text = _text(data)
@@ -122,6 +130,35 @@ def chunk_files(spark: SparkSession, path: str, **kwargs) -> DataFrame:
     return chunk(files, key="path", content="content", name="path", **kwargs)
 
 
+def first_of_each(found: list[tuple[str, bytes]]) -> list[tuple[str, bytes]]:
+    kept: dict[str, bytes] = {}
+    for image, raw in found:
+        kept.setdefault(image, raw)
+    return [*kept.items()]
+
+
+def images(docs: DataFrame, key: str = "doc_id", content: str = "content", name: str = "name") -> DataFrame:
+    """``(key, image_pos, image_name, bytes)`` of the images in notebooks, the first of each name."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, pos, names, data = [], [], [], []
+            for r, (n, d) in enumerate(zip(b.column("_name").to_pylist(), b.column("_data").to_pylist(), strict=True)):
+                try:
+                    found = ipynb.load(d).images if d is not None and FAMILY_OF.get(extension(n or "")) == "ipynb" else []
+                except ChunkError:
+                    found = []
+                for i, (image, raw) in enumerate(first_of_each(found)):
+                    at.append(r)
+                    pos.append(i)
+                    names.append(image)
+                    data.append(raw)
+            yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(names, pa.string()), pa.array(data, pa.binary())], names=[key, "image_pos", "image_name", "bytes"])
+
+    return docs.select(F.col(key).alias("_key"), F.col(name).alias("_name"), F.col(content).alias("_data")).mapInArrow(work, f"`{key}` {kind}, image_pos int, image_name string, bytes binary")
+
+
 def to_markdown(docs: DataFrame, content: str = "text", name: str | None = None, family: str | None = None, out: str = "markdown") -> DataFrame:
     """``docs`` with each document's Markdown; null where it cannot be read."""
     label = F.col(name) if name else F.lit("x." + FAMILIES[family or "txt"][0])

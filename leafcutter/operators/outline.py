@@ -7,6 +7,7 @@ the units of one document into chunks. What differs between families is data in
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from ..functions import text as T
@@ -46,6 +47,8 @@ class Rules:
     #: Semantic chunks start with their heading; others below a size are dropped before numbering.
     heading_seeds: bool = False
     least_size: int = 0
+    #: Splits prose into sentences.
+    sentences: Callable[[str], list[str]] = T.sentences
     #: Structural chunks carry all headings above them.
     with_path: bool = False
 
@@ -270,7 +273,7 @@ def sentence(units: list[Unit], rules: Rules, o: ChunkOptions) -> list[Chunk]:
             close()
             out.append(Chunk(u.text, u.kind, {"section_heading": u.heading, "heading_path": u.path, "chunk_index": len(out), "document_metadata": _doc(rules, total)}))
         else:
-            found = [x for x in map(T.strip, T.lines(u.text)) if x] if u.kind == "bullet_list" else T.sentences(u.text)
+            found = [x for x in map(T.strip, T.lines(u.text)) if x] if u.kind == "bullet_list" else rules.sentences(u.text)
             held += [(s, paragraph, u) for s in found]
         paragraph += 1
     close()

@@ -7,7 +7,27 @@ import re
 from ..functions import text as T
 from ..operators.outline import CHUNK_SIZE, Rules, Unit, outline
 
-RULES = Rules("md", preamble=None, section_flush_prose_only=True, lists_join=True)
+#: Abbreviations after which no sentence ends.
+ABBREVIATIONS = ("mr.", "mrs.", "dr.", "prof.", "sr.", "jr.", "vs.", "etc.", "approx.", "est.")
+
+
+def sentences(text: str) -> list[str]:
+    """Sentences end at a sign, one blank and a capital, but not after abbreviations, bare
+    numbers and initials."""
+    out, start = [], 0
+    for m in re.finditer(r"[.?!](?= .)", text):
+        end = m.end()
+        if end <= start or not text[end + 1].isupper():
+            continue
+        before = T.ascii_lower(text[max(0, end - 40) : end])
+        if m[0] == "." and (before.endswith(ABBREVIATIONS) or re.search(rf"(?:^|[{T.WHITE}])[0-9]+\.$", before) or re.search(r"[a-z]\.[a-z]\.$", before)):
+            continue
+        out.append(T.collapse(text[start:end]))
+        start = end + 1
+    return [s for s in [*out, T.collapse(text[start:])] if s]
+
+
+RULES = Rules("md", preamble=None, section_flush_prose_only=True, lists_join=True, sentences=sentences)
 
 _RULE = re.compile(r"-{3,}|\*{3,}|_{3,}")
 _UNDER = re.compile("={3,}|-{3,}")

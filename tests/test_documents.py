@@ -7,7 +7,7 @@ import pytest
 from leafcutter import api
 from leafcutter.operators import txt
 from leafcutter.options import ChunkOptions, InvalidArg, Unsupported
-from leafcutter.sources import csv, html, markdown
+from leafcutter.sources import csv, html, ipynb, markdown
 from leafcutter.sources import json as js
 from leafcutter.sources.decode import decode_text
 
@@ -178,3 +178,32 @@ def test_html_charsets(data, want):
 
 def test_html_markdown():
     assert html.markdown("<h2>T</h2><ol><li>a<li>b</ol><table><tr><th>x</th><th>y</th></tr><tr><td>1</td><td>2</td></tr></table>") == "## T\n\n1. a\n2. b\n\n| x | y |\n| --- | --- |\n| 1 | 2 |"
+
+
+def test_markdown_sentences():
+    assert markdown.sentences("Dr. Who came. He left at No 3. Then J. R. R. T. U.S.A. Today? Yes! ok. go") == ["Dr. Who came.", "He left at No 3. Then J.", "R.", "R.", "T.", "U.S.A. Today?", "Yes! ok. go"]
+
+
+NOTEBOOK = {
+    "nbformat": 4, "nbformat_minor": 5, "metadata": {"kernelspec": {"name": "python3", "language": "python"}},
+    "cells": [
+        {"cell_type": "markdown", "source": ["# Title\n", "text ![x](attachment:a.png)"], "attachments": {"a.png": {"image/png": ["aGVs", "bG8="]}}},
+        {"cell_type": "code", "source": "print(1)\n", "outputs": [
+            {"output_type": "stream", "text": ["1\n"]}, {"output_type": "display_data", "data": {"image/png": "aGVsbG8=\n", "text/plain": "<Figure>"}},
+            {"output_type": "execute_result", "data": {"text/html": "<b>bold</b>  x", "text/plain": "p"}}, {"output_type": "error", "traceback": ["\x1b[31mE\x1b[0m"]}, {"output_type": "odd"},
+        ]},
+        {"cell_type": "raw", "source": "raw"}, {"cell_type": "code", "source": " "},
+    ],
+}
+
+
+def test_notebooks(spark):
+    nb = ipynb.load(json.dumps(NOTEBOOK))
+    assert nb.markdown == "# Title\ntext ![x](attachment_a.png.png)\n\n```python\nprint(1)\n```\n\n```\n1\n```\n\n![](output_image_1.png)\n\n```\n<Figure>\n```\n\nbold x\n\n```\nE\n```\n\nraw"
+    assert nb.images == [("attachment_a.png.png", b"hello"), ("output_image_1.png", b"hello")]
+    assert nb.meta["cell_count"] == 4 and nb.meta["code_cell_count"] == 2 and nb.meta["nbformat"] == "4.5"
+    df = spark.createDataFrame([(1, "a.ipynb", json.dumps(NOTEBOOK)), (2, "b.ipynb", "{"), (3, "c.txt", "x")], "id long, name string, content string")
+    assert [tuple(r) for r in api.images(df, key="id").orderBy("image_pos").collect()] == [(1, 0, "attachment_a.png.png", b"hello"), (1, 1, "output_image_1.png", b"hello")]
+    got = api.document_chunks("a.ipynb", json.dumps(NOTEBOOK), ChunkOptions())
+    assert {c.metadata["document_metadata"]["kernel"] for c in got} == {"python3"}
+    assert ipynb.load('{"worksheets":[{"cells":[{"cell_type":"heading","level":2,"source":"H"},{"cell_type":"code","input":"x"}]}]}').markdown == "## H\n\n```\nx\n```"
