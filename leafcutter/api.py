@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from .operators import txt
 from .operators.outline import BUILDERS, Chunk
 from .options import FAMILIES, FAMILY_OF, ChunkError, ChunkOptions, Unsupported, extension
-from .sources import csv, html, ipynb, markdown
+from .sources import csv, epub, html, ipynb, markdown
 from .sources import json as json_source
 from .sources.decode import decode_text
 
 #: Families that have a loader here.
-AVAILABLE = ("txt", "md", "html", "csv", "json", "ipynb")
+AVAILABLE = ("txt", "md", "html", "csv", "json", "ipynb", "epub")
 
 
 def family_of(name: str) -> str:
@@ -39,6 +39,17 @@ def _text(data: bytes | str) -> str:
     return data if isinstance(data, str) else decode_text(data)
 
 
+def _bytes(data: bytes | str) -> bytes:
+    return data.encode("utf-8", "surrogateescape") if isinstance(data, str) else data
+
+
+def document_images(name: str, data: bytes | str) -> list[tuple[str, bytes]]:
+    """Images of notebooks and e-books, the first of each name."""
+    family = family_of(name)
+    found = ipynb.load(data).images if family == "ipynb" else epub.load(_bytes(data)).images if family == "epub" else []
+    return first_of_each(found)
+
+
 def document_markdown(name: str, data: bytes | str, o: ChunkOptions | None = None) -> str:
     o = o or ChunkOptions()
     family = family_of(name)
@@ -51,6 +62,8 @@ def document_markdown(name: str, data: bytes | str, o: ChunkOptions | None = Non
         return html.markdown(data)
     if family == "ipynb":
         return ipynb.load(data).markdown
+    if family == "epub":
+        return epub.markdown(_bytes(data))
     return markdown.front_matter_off(_text(data)) if family == "md" else _text(data)
 
 
@@ -71,6 +84,8 @@ def document_chunks(name: str, data: bytes | str, o: ChunkOptions) -> list[Chunk
         for c in made:
             c.metadata["document_metadata"] = {"source_type": extension(name), "record_count": len(records)}
         return made
+    if family == "epub":
+        return epub.chunks(_bytes(data), o)
     if family == "ipynb":
         nb = ipynb.load(data)
         made = BUILDERS[o.mode](markdown.units(nb.markdown, front_matter=False), markdown.RULES, o)
@@ -138,7 +153,7 @@ def first_of_each(found: list[tuple[str, bytes]]) -> list[tuple[str, bytes]]:
 
 
 def images(docs: DataFrame, key: str = "doc_id", content: str = "content", name: str = "name") -> DataFrame:
-    """``(key, image_pos, image_name, bytes)`` of the images in notebooks, the first of each name."""
+    """``(key, image_pos, image_name, bytes)`` of the images in notebooks and e-books."""
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +161,10 @@ def images(docs: DataFrame, key: str = "doc_id", content: str = "content", name:
             at, pos, names, data = [], [], [], []
             for r, (n, d) in enumerate(zip(b.column("_name").to_pylist(), b.column("_data").to_pylist(), strict=True)):
                 try:
-                    found = ipynb.load(d).images if d is not None and FAMILY_OF.get(extension(n or "")) == "ipynb" else []
+                    found = [] if d is None else document_images(n or "", d)
                 except ChunkError:
                     found = []
-                for i, (image, raw) in enumerate(first_of_each(found)):
+                for i, (image, raw) in enumerate(found):
                     at.append(r)
                     pos.append(i)
                     names.append(image)

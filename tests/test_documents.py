@@ -7,7 +7,7 @@ import pytest
 from leafcutter import api
 from leafcutter.operators import txt
 from leafcutter.options import ChunkOptions, InvalidArg, Unsupported
-from leafcutter.sources import csv, html, ipynb, markdown
+from leafcutter.sources import csv, epub, html, ipynb, markdown
 from leafcutter.sources import json as js
 from leafcutter.sources.decode import decode_text
 
@@ -207,3 +207,52 @@ def test_notebooks(spark):
     got = api.document_chunks("a.ipynb", json.dumps(NOTEBOOK), ChunkOptions())
     assert {c.metadata["document_metadata"]["kernel"] for c in got} == {"python3"}
     assert ipynb.load('{"worksheets":[{"cells":[{"cell_type":"heading","level":2,"source":"H"},{"cell_type":"code","input":"x"}]}]}').markdown == "## H\n\n```\nx\n```"
+
+
+def book(**more) -> bytes:
+    files = {
+        "META-INF/container.xml": '<container xmlns="urn:x"><rootfiles><rootfile full-path="O%20B/c.opf"/></rootfiles></container>',
+        "O B/c.opf": """<package xmlns="u" xmlns:dc="d" version="3.0"><metadata><dc:title>T &amp; U</dc:title><dc:creator>A</dc:creator><dc:creator>B</dc:creator><dc:creator>A</dc:creator><dc:language>en</dc:language></metadata>
+<manifest><item id="n" href="nav.xhtml" properties="nav"/><item id="one" href="t/1.xhtml"/><item id="gone" href="t/2.xhtml"/><item id="z" href="i/z.png" media-type="image/png"/><item id="a" href="i/a.png" media-type="image/png"/></manifest>
+<spine><itemref idref="n"/><itemref idref="one"/><itemref idref="gone"/><itemref idref="none"/></spine></package>""",
+        "O B/nav.xhtml": '<html xmlns="h"><body><nav><ol><li><a href="t/1.xhtml">One</a></li></ol></nav></body></html>',
+        "O B/t/1.xhtml": "<html><head><title>x</title></head><body><h1>One</h1><p>Body text.</p></body></html>",
+        "O B/i/z.png": "zz", "O B/i/a.png": "aa",
+    } | more
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_epub():
+    got = api.document_chunks("a.epub", book(), ChunkOptions(mode="section"))
+    assert [(c.metadata["spine_index"], c.metadata["is_navigation"], c.content, c.metadata["chunk_index"]) for c in got] == [(0, True, "One", 0), (1, False, "One", 0), (1, False, "Body text.", 1)]
+    meta = got[0].metadata["document_metadata"]
+    assert meta["title"] == "T & U" and meta["creators"] == ["A", "B"] and meta["skipped_spine_items"] == ["O B/t/2.xhtml", "none (no manifest item)"] and meta["toc"] == [{"title": "One", "href": "t/1.xhtml"}]
+    assert epub.load(book()).images == [("O B/i/z.png", b"zz"), ("O B/i/a.png", b"aa")]
+    assert api.document_markdown("a.epub", book()) == "# T & U\n\n---\n\nOne\n\n---\n\n# One\n\nBody text."
+
+
+@pytest.mark.parametrize("data", [b"", b"x" * 100, book()[:200], book(**{"META-INF/container.xml": "<a/>"}), book(**{"O B/c.opf": "<p"})])
+def test_broken_epubs_are_parse_errors(data):
+    from leafcutter.options import ParseError
+
+    with pytest.raises(ParseError):
+        api.document_chunks("a.epub", data, ChunkOptions())
+
+
+@pytest.mark.parametrize("name", ["a.txt", "a.md", "a.html", "a.csv", "a.tsv", "a.json", "a.jsonl", "a.ipynb", "a.epub"])
+@pytest.mark.parametrize("data", [b"", b"\x00\xff\xfe\x80" * 50, b"PK\x03\x04" + bytes(40), b"{" * 3000, b"<div>" * 3000, b"a," * 2000])
+def test_garbage_never_crashes(name, data):
+    from leafcutter.options import ChunkError
+
+    for mode in ("structural", "sliding_window"):
+        try:
+            api.document_chunks(name, data, ChunkOptions(mode="row" if name[2:] in ("csv", "tsv") and mode == "structural" else mode))
+        except ChunkError:
+            pass
