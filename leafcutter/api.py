@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from .operators import txt
 from .operators.outline import BUILDERS, Chunk
 from .options import FAMILIES, FAMILY_OF, ChunkError, ChunkOptions, Unsupported, extension
-from .sources import csv, epub, html, ipynb, markdown
+from .sources import csv, epub, html, ipynb, mail, markdown
 from .sources import json as json_source
 from .sources.decode import decode_text
 
 #: Families that have a loader here.
-AVAILABLE = ("txt", "md", "html", "csv", "json", "ipynb", "epub")
+AVAILABLE = ("txt", "md", "html", "csv", "json", "ipynb", "epub", "eml")
 
 
 def family_of(name: str) -> str:
@@ -44,9 +44,15 @@ def _bytes(data: bytes | str) -> bytes:
 
 
 def document_images(name: str, data: bytes | str) -> list[tuple[str, bytes]]:
-    """Images of notebooks and e-books, the first of each name."""
+    """Images of notebooks, e-books and mail, the first of each name."""
     family = family_of(name)
-    found = ipynb.load(data).images if family == "ipynb" else epub.load(_bytes(data)).images if family == "epub" else []
+    found: list[tuple[str, bytes]] = []
+    if family == "ipynb":
+        found = ipynb.load(data).images
+    elif family == "epub":
+        found = epub.load(_bytes(data)).images
+    elif family == "eml":
+        found = (mail.load_mailbox if extension(name) == "mbox" else mail.load)(_bytes(data)).images
     return first_of_each(found)
 
 
@@ -64,6 +70,8 @@ def document_markdown(name: str, data: bytes | str, o: ChunkOptions | None = Non
         return ipynb.load(data).markdown
     if family == "epub":
         return epub.markdown(_bytes(data))
+    if family == "eml":
+        return mail.load_mailbox(_bytes(data)).markdown if extension(name) == "mbox" else mail.markdown(mail.load(_bytes(data)))
     return markdown.front_matter_off(_text(data)) if family == "md" else _text(data)
 
 
@@ -86,6 +94,14 @@ def document_chunks(name: str, data: bytes | str, o: ChunkOptions) -> list[Chunk
         return made
     if family == "epub":
         return epub.chunks(_bytes(data), o)
+    if family == "eml":
+        box = mail.load_mailbox(_bytes(data)) if extension(name) == "mbox" else None
+        one = None if box else mail.load(_bytes(data))
+        made = BUILDERS[o.mode](markdown.units(box.markdown if box else mail.markdown(one), front_matter=False), markdown.RULES, o)
+        meta = box.meta if box else {"source_type": "eml", **one.meta, "has_attachments": bool(one.attachments), "attachment_count": len(one.attachments)}
+        for c in made:
+            c.metadata["document_metadata"] = meta
+        return mail.stamp(made, box.infos) if box else made
     if family == "ipynb":
         nb = ipynb.load(data)
         made = BUILDERS[o.mode](markdown.units(nb.markdown, front_matter=False), markdown.RULES, o)
@@ -153,7 +169,7 @@ def first_of_each(found: list[tuple[str, bytes]]) -> list[tuple[str, bytes]]:
 
 
 def images(docs: DataFrame, key: str = "doc_id", content: str = "content", name: str = "name") -> DataFrame:
-    """``(key, image_pos, image_name, bytes)`` of the images in notebooks and e-books."""
+    """``(key, image_pos, image_name, bytes)`` of the images in notebooks, e-books and mail."""
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,3 +46,18 @@ def test_streaming_file_source_gives_the_batch_rows(spark, tmp_path):
     q.awaitTermination()
     key = lambda df: sorted(map(tuple, df.select("doc_id", "chunk_pos", "content", "metadata").collect()))
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(api.chunk(batch, family="txt", mode="sentence"))
+
+
+def test_arriving_files_give_the_batch_rows(spark, tmp_path):
+    from leafcutter import api
+    from leafcutter.streaming import chunk_stream, write_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_bytes(b"# T\n\nbody")
+    (tmp_path / "in" / "b.csv").write_bytes(b"full name,size of it\nx,1\n")
+    out, where = str(tmp_path / "out"), str(tmp_path / "in")
+    for more in (b"one", b"two. three."):
+        (tmp_path / "in" / f"{len(more)}.txt").write_bytes(more)
+        write_stream(chunk_stream(spark, where), out, str(tmp_path / "cp")).awaitTermination()
+    key = lambda df: sorted(map(tuple, df.select("path", "chunk_pos", "content", "metadata").collect()))
+    assert key(spark.read.parquet(out)) == key(api.chunk_files(spark, where))

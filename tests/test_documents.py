@@ -246,7 +246,7 @@ def test_broken_epubs_are_parse_errors(data):
         api.document_chunks("a.epub", data, ChunkOptions())
 
 
-@pytest.mark.parametrize("name", ["a.txt", "a.md", "a.html", "a.csv", "a.tsv", "a.json", "a.jsonl", "a.ipynb", "a.epub"])
+@pytest.mark.parametrize("name", ["a.txt", "a.md", "a.html", "a.csv", "a.tsv", "a.json", "a.jsonl", "a.ipynb", "a.epub", "a.eml", "a.mbox"])
 @pytest.mark.parametrize("data", [b"", b"\x00\xff\xfe\x80" * 50, b"PK\x03\x04" + bytes(40), b"{" * 3000, b"<div>" * 3000, b"a," * 2000])
 def test_garbage_never_crashes(name, data):
     from leafcutter.options import ChunkError
@@ -256,3 +256,51 @@ def test_garbage_never_crashes(name, data):
             api.document_chunks(name, data, ChunkOptions(mode="row" if name[2:] in ("csv", "tsv") and mode == "structural" else mode))
         except ChunkError:
             pass
+
+
+EML = b"""From: =?utf-8?q?J=C3=B6rg?= <j@x.org>\r
+To: a@x.org, B <b@x.org>\r
+Subject: Hi there\r
+Date: Mon, 02 Jan 2023 03:04:05 +0100\r
+Message-ID: <1@x>\r
+References: <0@x> <00@x>\r
+MIME-Version: 1.0\r
+Content-Type: multipart/mixed; boundary=B\r
+\r
+--B\r
+Content-Type: text/plain; charset=utf-8\r
+\r
+The body.\r
+--B\r
+Content-Type: image/png; name=p.png\r
+Content-Disposition: attachment; filename=p.png\r
+Content-Transfer-Encoding: base64\r
+\r
+aGVsbG8=\r
+--B\r
+Content-Type: text/csv; name=t.csv\r
+Content-Disposition: attachment; filename=t.csv\r
+\r
+a,b\r
+--B--\r
+"""
+
+
+def test_mail():
+    from leafcutter.sources import mail
+
+    got = mail.load(EML)
+    assert mail.markdown(got) == "# Hi there\n\n**From:** Jörg <j@x.org>  \n**To:** a@x.org, B <b@x.org>  \n**Date:** 2023-01-02T03:04:05+01:00\n\nThe body.\n\n## Attachments\n\n- p.png (image/png)\n- t.csv (text/csv)\n\na,b"
+    assert got.images == [("p.png", b"hello")] and got.meta["references"] == ["0@x", "00@x"] and got.meta["message_id"] == "1@x"
+    html_only = b"Subject: s\nContent-Type: text/html\n\n<h1>T</h1><p>x &amp; y</p>"
+    assert mail.markdown(mail.load(html_only)) == "# s\n\n# T\n\nx & y"
+
+
+def test_mailbox():
+    from leafcutter.sources import mail
+
+    box = b"From a Mon Jan  2 03:04:05 2023\nSubject: one\n\nFrom here it is prose\n>From quoted\nFrom b 12:00 no header next\n\nFrom c Mon Jan  2 03:04:05 2023\n\x00\x01 garbage\nFrom d 1:2\nSubject: two\n\nsecond\n"
+    got = mail.load_mailbox(box)
+    assert got.meta["message_count"] == 2 and "From quoted" in got.markdown and ">From" not in got.markdown
+    chunks = api.document_chunks("a.mbox", box, ChunkOptions(mode="section"))
+    assert {(c.metadata.get("message_index"), c.metadata.get("message_subject")) for c in chunks} >= {(1, "one"), (2, "two")}
