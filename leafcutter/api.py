@@ -18,20 +18,23 @@ from pyspark.sql import functions as F
 from .operators import txt
 from .operators.outline import BUILDERS, Chunk
 from .options import FAMILIES, FAMILY_OF, ChunkError, ChunkOptions, Unsupported, extension
-from .sources import csv, epub, html, ipynb, mail, markdown
+from .sources import csv, epub, html, ipynb, mail, markdown, xlsx
 from .sources import json as json_source
 from .sources.decode import decode_text
 
 #: Families that have a loader here.
-AVAILABLE = ("txt", "md", "html", "csv", "json", "ipynb", "epub", "eml")
+AVAILABLE = ("txt", "md", "html", "csv", "json", "ipynb", "epub", "eml", "xlsx")
+#: Modes and extensions of a family that have no builder or reader yet.
+MISSING_MODES = {"xlsx": ("semantic", "page_aware")}
+MISSING_EXTENSIONS = frozenset({"xls", "xlsb", "ods"})
 
 
 def family_of(name: str) -> str:
     family = FAMILY_OF.get(extension(name))
     if family is None:
         raise Unsupported(f"unsupported file extension: {extension(name)!r}")
-    if family not in AVAILABLE:
-        raise Unsupported(f"no loader for {family}")
+    if family not in AVAILABLE or extension(name) in MISSING_EXTENSIONS:
+        raise Unsupported(f"no loader for {extension(name)}")
     return family
 
 
@@ -68,6 +71,8 @@ def document_markdown(name: str, data: bytes | str, o: ChunkOptions | None = Non
         return html.markdown(data)
     if family == "ipynb":
         return ipynb.load(data).markdown
+    if family == "xlsx":
+        return xlsx.markdown(_bytes(data))
     if family == "epub":
         return epub.markdown(_bytes(data))
     if family == "eml":
@@ -79,6 +84,10 @@ def document_chunks(name: str, data: bytes | str, o: ChunkOptions) -> list[Chunk
     """The chunks of one document."""
     family = family_of(name)
     o.checked(family)
+    if o.mode in MISSING_MODES.get(family, ()):
+        raise Unsupported(f"no {o.mode} mode for {family} yet")
+    if family == "xlsx":
+        return xlsx.chunks(_bytes(data), o)
     if family == "csv":
         return csv.chunks(data, replace(o, delimiter=o.delimiter or ("\t" if extension(name) == "tsv" else None)))
     if family == "json":

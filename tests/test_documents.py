@@ -246,14 +246,14 @@ def test_broken_epubs_are_parse_errors(data):
         api.document_chunks("a.epub", data, ChunkOptions())
 
 
-@pytest.mark.parametrize("name", ["a.txt", "a.md", "a.html", "a.csv", "a.tsv", "a.json", "a.jsonl", "a.ipynb", "a.epub", "a.eml", "a.mbox"])
+@pytest.mark.parametrize("name", ["a.txt", "a.md", "a.html", "a.csv", "a.tsv", "a.json", "a.jsonl", "a.ipynb", "a.epub", "a.eml", "a.mbox", "a.xlsx"])
 @pytest.mark.parametrize("data", [b"", b"\x00\xff\xfe\x80" * 50, b"PK\x03\x04" + bytes(40), b"{" * 3000, b"<div>" * 3000, b"a," * 2000])
 def test_garbage_never_crashes(name, data):
     from leafcutter.options import ChunkError
 
     for mode in ("structural", "sliding_window"):
         try:
-            api.document_chunks(name, data, ChunkOptions(mode="row" if name[2:] in ("csv", "tsv") and mode == "structural" else mode))
+            api.document_chunks(name, data, ChunkOptions(mode="row" if name[2:] in ("csv", "tsv", "xlsx") and mode == "structural" else mode))
         except ChunkError:
             pass
 
@@ -304,3 +304,40 @@ def test_mailbox():
     assert got.meta["message_count"] == 2 and "From quoted" in got.markdown and ">From" not in got.markdown
     chunks = api.document_chunks("a.mbox", box, ChunkOptions(mode="section"))
     assert {(c.metadata.get("message_index"), c.metadata.get("message_subject")) for c in chunks} >= {(1, "one"), (2, "two")}
+
+
+def workbook() -> bytes:
+    import io
+    import zipfile
+
+    m, r = 'xmlns="m" xmlns:r="http://r"', "http://r"
+    files = {
+        "xl/workbook.xml": f'<workbook {m}><sheets><sheet name="One" sheetId="1" r:id="a"/><sheet name="Bad" sheetId="2" r:id="b"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="p"><Relationship Id="a" Target="worksheets/s1.xml"/><Relationship Id="b" Target="worksheets/s2.xml"/></Relationships>',
+        "xl/sharedStrings.xml": "<sst><si><t>name</t></si><si><r><t>si</t></r><r><t>ze</t></r><rPh><t>x</t></rPh></si></sst>",
+        "xl/styles.xml": '<styleSheet><numFmts><numFmt numFmtId="170" formatCode="yyyy&quot;-&quot;mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>',
+        "xl/worksheets/s1.xml": """<worksheet><sheetData>
+<row r="2"><c r="B2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c><c r="D2" t="inlineStr"><is><t>when</t></is></c></row>
+<row r="3"><c r="B3" t="str"><v>x</v></c><c r="C3"><v>0.30000000000000004</v></c><c r="D3" s="1"><v>44927.5</v></c></row>
+<row r="5"><c r="B5" t="b"><v>1</v></c><c r="C5"><v>3</v></c><c r="D5" t="e"><v>#N/A</v></c></row></sheetData></worksheet>""",
+        "xl/worksheets/s2.xml": "<worksheet><sheetData>",
+    }
+    del r
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_spreadsheets():
+    rows = api.document_chunks("a.xlsx", workbook(), ChunkOptions(rows_per_chunk=1))
+    assert [c.content for c in rows] == ["name: x | size: 0.3 | when: 2023-01-01 12:00:00", "name: true | size: 3 | when: #N/A"]
+    assert [c.metadata["row_index"] for c in rows] == [2, 4] and rows[0].metadata["skipped_sheets"] == ["Bad"]
+    windows = api.document_chunks("a.xlsm", workbook(), ChunkOptions(mode="sliding_window", window_size=2, overlap=1))
+    assert [(c.metadata["start_row"], c.metadata["end_row"], c.metadata["actual_row_count"]) for c in windows] == [(2, 4, 2), (4, 4, 1)]
+    assert [c.content_type for c in api.document_chunks("a.xlsx", workbook(), ChunkOptions(mode="table"))] == ["table_region", "table_region"]
+    assert api.document_chunks("a.xlsx", workbook(), ChunkOptions(mode="sheet", include_headers=False))[0].content == "x | 0.3 | 2023-01-01 12:00:00\ntrue | 3 | #N/A"
+    for name, mode in (("a.ods", "row"), ("a.xlsx", "semantic")):
+        with pytest.raises(Unsupported):
+            api.document_chunks(name, workbook(), ChunkOptions(mode=mode))
