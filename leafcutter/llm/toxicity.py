@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import slices
+from .bpe import give_back_memory, slices
 from .common import cut, table
 
 #: Labelled documents that are read to fit (those first in hash order).
@@ -44,11 +44,12 @@ PRIOR, WORTH, LEXICON = 0.1, 1.0, 20_000
 #: Lines with a word or prefix in toxic documents from which it is kept.
 LEAST_LINES = 5
 PREFIXES = range(3, 9)
+BLANK = 10
 LEAST_DRIFT = 0.02
 THRESHOLD = 0.3
 EDGES = "".join(chr(c) for c in range(128) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡"
 #: Distinct tokens that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 @dataclass
@@ -147,8 +148,10 @@ def _solve_lambda(scores: np.ndarray, weights: np.ndarray) -> float:
     return lo
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton steps with a slight ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Intercept and slope by Newton steps with a slight ridge. ``BLANK`` documents without
+    evidence and with the share of toxic labels steady the intercept where labels are few."""
+    x, y = np.append(x, np.zeros(BLANK)), np.append(y, np.full(BLANK, share))
     design = np.stack([np.ones_like(x), x], axis=1)
     w = np.zeros(2)
     for _ in range(50):
@@ -233,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     least = 0.5
     model.k = (sum(sum(s >= least for s in r.s) for r in clean) + 0.5) / (sum(r.n for r in clean) + 1) * math.exp(model.lam * least)
     x = np.array([math.log1p(model.evidence([(0, 0, s) for s in r.s], r.n)) for r in checked])
-    model.a, model.b = _logistic(x, np.array([r.y for r in checked], dtype=np.float64))
+    model.a, model.b = _logistic(x, np.array([r.y for r in checked], dtype=np.float64), share)
     return model
 
 
@@ -253,6 +256,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 rated = ((i, j, s, m.k * n * math.exp(-m.lam * s)) for i, j, s in got)
                 found.append([{"first": i, "last": j, "total": s, "expected": e} for i, j, s, e in rated if e < 1])
             yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(p, pa.float64()), pa.array(found, out)], names=[key, "score", "passages"])
+        m.known.clear()
+        give_back_memory()
 
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(work, f"`{key}` {kind}, score double, passages array<struct<first:long,last:long,total:double,expected:double>>")
 
@@ -267,6 +272,8 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in batches:
             keep = [m.probability(m.evidence(*m.passages(t))) < THRESHOLD for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
+        m.known.clear()
+        give_back_memory()
 
     return docs.mapInArrow(work, docs.schema)
 
