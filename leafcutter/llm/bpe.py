@@ -279,6 +279,11 @@ class Encoder:
         ids, edges = self.encode_array(pa.array(texts, pa.string()))
         return [ids[s:e].tobytes() for s, e in zip(edges.tolist(), edges.tolist()[1:], strict=False)]
 
+    def forget(self) -> None:
+        """Keep the model alone, for workers that go on to other stages."""
+        self.known, self.pieces = {}, {}
+        give_back_memory()
+
     # ------------------------------------------------------------- decoding
 
     def decode(self, ids: list[int]) -> bytes:
@@ -332,6 +337,7 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
                 flat, edges = enc.encode_array(b.column(at))
                 ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, name])
+        enc.forget()
 
     return docs.mapInArrow(work, schema)
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import slices
+from .bpe import give_back_memory, slices
 from .common import bit_majority, connected_components, cut, fresh_names, group_starts, local_roots, runs_of, table, verify_groups
 
 SEED = 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *([text_node(F.col(text)).alias("_node")] if with_size else []))
 
     def work(batches):
-        for b in slices(batches, "_text"):
+        for b in slices(batches, "_text", 1_000_000):
             texts = b.column("_text").to_pylist()
             hashes = [shingle_hashes(t, words) for t in texts]
             flat = np.array([x for h in hashes for x in h], dtype=np.uint64)
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
             if with_size:
                 cols |= {"n": pa.array([len(set(h)) for h in hashes], pa.int64()), "node": b.column("_node")}
             yield pa.RecordBatch.from_arrays([*cols.values()], names=[*cols])
+        give_back_memory()
 
     return rows.mapInArrow(work, f"`{key}` {kind}, fp long" + ", n long, node long" * with_size)
 
@@ -250,6 +251,7 @@ def links_in_buckets(keyed: DataFrame, tau: int, limit: int | None = None) -> Da
                 yield out
         if over:
             yield pa.RecordBatch.from_arrays([pa.array([k for (k,) in over], pa.int64()), pa.nulls(len(over), pa.int64())], ["a", "b"])
+        give_back_memory()
 
     return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(walk, "a long, b long")
 
