@@ -3,8 +3,8 @@
 Every line of every file is compared with notice templates by the cosine of sparse TF-IDF
 vectors (weights from the templates; a word that no template has weighs as the rarest). A
 line can reach the threshold only if it holds one of a template's anchors: words so heavy that
-what remains of the template without them has a norm below the threshold. So one regular
-expression of anchors drops all other files and lines before any word is taken apart.
+what remains of the template without them has a norm below the threshold. So a search for
+anchors drops all other files and lines before any word is taken apart.
 
 A file's direct licence is its best line's. A file that is a licence file by name, or whose
 matching lines hold at least ``DOMINANT`` of its words, declares its licence for its directory.
@@ -21,16 +21,20 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_names, table
 
-THRESHOLD, DOMINANT = 0.75, 0.5
+THRESHOLD, DOMINANT = 0.8, 0.5
 FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
 WORD_CUT = r"[^a-z0-9.]+"
 
+#: Words that prose of some language is full of.
+COMMON = frozenset("a all an and any as at be but by can code copy file for form found free from if in is it like may mit nc no not of on or public sa source style subject terms that the this to under use v with without work you".split())
+
 #: Short notices by licence.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
@@ -70,8 +74,8 @@ class Templates:
             v = {w: x / norm for w, x in v.items()}
             self.vectors.append((name, place, v))
             left = 1.0
-            # known anchors first, then long words, which prose holds least
-            for w in sorted(v, key=lambda w: (w not in anchors, -len(w), w)):
+            # common words last; known anchors first, then long words, which prose holds least
+            for w in sorted(v, key=lambda w: (w in COMMON, w not in anchors, -len(w), w)):
                 if left < (threshold - 1e-6) ** 2:
                     break
                 anchors.add(w)
@@ -79,15 +83,20 @@ class Templates:
         self.anchors = sorted(anchors)
 
     @property
-    def anchor_pattern(self) -> str:
-        return "(?<![a-z0-9])(?:" + "|".join(w.replace(".", "[.]") for w in self.anchors) + ")(?![a-z0-9])"
+    def stems(self) -> list[str]:
+        """Anchors without those that hold another one: whatever holds an anchor holds a stem."""
+        return [a for a in self.anchors if not any(b != a and b in a for b in self.anchors)]
 
 
 def direct_licenses(files: DataFrame, path: str = "path", text: str = "text", templates: Templates | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``(path, license, score, matched, words)``, one row per path with a licence line."""
     t = templates or Templates()
     spark = files.sparkSession
-    hit = lambda c: F.lower(c).rlike(t.anchor_pattern)
+
+    def hit(c):
+        # the array holds the text in lower case, once, for all searches
+        return F.exists(F.array(F.lower(c)), lambda low: reduce(lambda a, b: a | b, [low.contains(x) for x in t.stems]))
+
     body = F.col(f"`{text}`")
     some = files.select(F.col(f"`{path}`").alias("p"), body.alias("x")).where(F.col("p").isNotNull() & hit(F.col("x")))
     lines = some.select("p", F.regexp_count("x", F.lit(r"[^\x20\x09-\x0D]+")).alias("all"), F.posexplode(F.split("x", "\n")).alias("nth", "line")).where(hit(F.col("line")))
