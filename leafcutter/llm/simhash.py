@@ -264,7 +264,12 @@ def link_fingerprints(rows: DataFrame, tau: int, banded: bool = False) -> DataFr
     total = rows.count()
     sample = [r.fp for r in rows.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()]
     plan = plan_partitions(np.array(sample, dtype=np.int64).view(np.uint64), total if not banded else max(2, total // 8), tau)
-    keyed, out = block_keys(rows, plan, banded), None
+    return link_keyed(block_keys(rows, plan, banded), plan, tau)
+
+
+def link_keyed(keyed: DataFrame, plan: list[tuple[list[int], int]], tau: int) -> DataFrame:
+    """Stars over the pairs within ``tau`` bits of ``(bucket, part, node, fp)``; hot buckets are dealt again."""
+    out = None
     for level in range(3):
         found = cut(links_in_buckets(keyed, tau, HOT if level < 2 else None))
         links = found.where(F.col("b").isNotNull())

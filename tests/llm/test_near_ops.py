@@ -191,6 +191,35 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def edited_lines():
+    """Lines of 10 to 40 words, each with one copy: a word replaced, a letter changed, or words left out."""
+    random.seed(11)
+    words = ["".join(random.choice("abcdefghijklm") for _ in range(random.randint(3, 8))) for _ in range(3000)]
+    pairs = []
+    for n in (10, 20, 30, 40):
+        for k in range(60):
+            w = [random.choice(words) for _ in range(n)]
+            v = list(w)
+            i = random.randrange(n)
+            if k % 3 == 0:
+                v[i] = random.choice(words)
+            elif k % 3 == 1:
+                v[i] = v[i][:-1] + "z"
+            else:
+                del v[i : i + 1 + n // 20]
+            pairs.append((" ".join(w), " ".join(v)))
+    return [(a, b) for a, b in pairs if a != b and line_dedup.similar(a, b)]
+
+
+def test_line_dedup_by_edit_similarity_alone(spark):
+    pairs = edited_lines()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(x for p in pairs for x in p)], "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.dedup_lines(df, bits=None).where("text <> ''").collect()}
+    assert all(2 * i in got for i in range(len(pairs)))  # the first of each pair stays
+    assert sum(2 * i + 1 not in got for i in range(len(pairs))) >= 0.98 * len(pairs)
+    assert line_dedup.dedup_lines(df.limit(0), bits=None).count() == 0
+
+
 def test_embeddings(spark, sf):
     rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").limit(150).collect()]
     first = rows[0]
