@@ -297,21 +297,55 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return rows.join(named, "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Bits in which the fingerprints of a candidate pair may differ where texts are compared after it.
+#: Bits in which fingerprints may differ to make a candidate pair, where texts are compared after it.
 CANDIDATE_BITS = 10
 
 
+#: Candidates by their shingle sets: keys of so many minima each. At a Jaccard similarity of s, a pair is
+#: missed with probability (1 - s ** SET_ROWS) ** SET_KEYS, 0.08 % at 0.8, whatever kind of edit it is.
+SET_KEYS, SET_ROWS = 10, 3
+
+
+def set_keys(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """``(node, keys)``: ``SET_KEYS`` keys of each text, each of ``SET_ROWS`` minima over its set of shingles."""
+    salt = np.random.default_rng(13).integers(1, 1 << 63, (SET_KEYS, SET_ROWS, 2), dtype=np.uint64) | np.uint64(1)
+
+    def work(batches):
+        for b in slices(batches, "_text", 1_000_000):
+            hashes = [shingle_hashes(t, words) or [0] for t in b.column("_text").to_pylist()]
+            flat = np.array([x for h in hashes for x in h], dtype=np.uint64)
+            starts = np.cumsum([0, *map(len, hashes[:-1])]) if hashes else np.zeros(0, np.int64)
+            keys = np.zeros((len(hashes), SET_KEYS), dtype=np.uint64)
+            if len(hashes):
+                for k in range(SET_KEYS):
+                    with np.errstate(over="ignore"):
+                        keys[:, k] = mixed(k, *[np.minimum.reduceat((flat ^ flip) * factor, starts) for flip, factor in salt[k]])
+            ends = pa.array(np.arange(len(hashes) + 1, dtype=np.int32) * SET_KEYS)
+            yield pa.RecordBatch.from_arrays([b.column("_node"), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64)))], names=["node", "keys"])
+        give_back_memory()
+
+    return docs.select(text_node(F.col(text)).alias("_node"), F.col(text).alias("_text")).mapInArrow(work, "node long, keys array<long>")
+
+
+def set_links(keys: DataFrame) -> DataFrame:
+    """Stars ``(a, b)`` over the texts that share a key."""
+    keyed = keys.select("node", F.explode("keys").alias("bucket")).distinct()
+    first = keyed.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return keyed.join(first, "bucket").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
+
+
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, tau: int = CANDIDATE_BITS) -> DataFrame:
     """``(node, root)`` over different texts, linked where their sets of ``words``-word shingles
-    have Jaccard similarity ``similarity`` or more and their fingerprints of 3-word shingles
-    differ in at most ``tau`` bits. ``node``: ``text_node`` of the text."""
+    have Jaccard similarity ``similarity`` or more. Candidates share a key of their sets, or
+    have fingerprints of 3-word shingles that differ in at most ``tau`` bits. ``node``: ``text_node`` of the text."""
     rows = fingerprints(docs, key, text, 3, with_size=True)
     nodes = cut(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n")))
     # sets of similarity s have sizes within a factor of s, so their bands are equal or
     # neighbours; a few units of slack, as 3-word sets are banded for 5-word sets
     step = float(np.log(1 / similarity) * 1.25)
     banded = nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double") + 4.0) / F.lit(step)).cast("long")).select("node", "fp", "band")
-    roots = cut(connected_components(link_fingerprints(banded, tau, banded=True)))
+    sets = cut(set_keys(docs, text, words))
+    roots = cut(connected_components(link_fingerprints(banded, tau, banded=True).union(set_links(sets))))
     texts = semi_join_text(docs.select(text_node(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("_text")), roots.select("node"), "node").groupBy("node").agg(F.first("_text").alias("_text"))
     members = roots.join(texts, "node").join(nodes.select("node", "fp"), "node").select(F.col("root").alias("grp"), "node", "fp", "_text")
 
@@ -325,7 +359,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both >= similarity * (small + large - both)
 
-    return cut(connected_components(verify_groups(members, "grp", "node", "fp", tau, prepare, linked)))
+    return cut(connected_components(verify_groups(members, "grp", "node", "fp", 64, prepare, linked)))
 
 
 #: Keys up to which a side is broadcast (16 bytes each: 32 MB at most).
