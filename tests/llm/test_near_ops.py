@@ -332,6 +332,12 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_lines_between_three_quarters_and_four_fifths(spark):
+    files = [("a/LICENSE", "MIT License\n\nCopyright (c) 2020 Someone"), ("a/b/x.py", "code")]
+    got = {r.path: (r.direct_license, r.license) for r in licenses.scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got["a/LICENSE"] == ("MIT", "MIT") and got["a/b/x.py"] == (None, "MIT")
+
+
 def test_license_anchors_lose_no_line(spark):
     t = licenses.Templates()
     for _, _, v in t.vectors:
