@@ -1,12 +1,13 @@
 """Licence scans with DataFrame functions alone.
 
-Every line of every file is compared with notice templates by the cosine of sparse TF-IDF
+Every line of every file, every window of up to ten short lines (a notice is often wrapped) and every
+licence file as a whole is compared with templates, notices and whole licence texts, by the cosine of sparse TF-IDF
 vectors (weights from the templates; a word that no template has weighs as the rarest). A
 line can reach the threshold only if it holds one of a template's anchors: words so heavy that
 what remains of the template without them has a norm below the threshold. So a search for
 anchors drops all other files and lines before any word is taken apart.
 
-A file's direct licence is its best line's. A file that is a licence file by name, or whose
+A file's direct licence is its best line's or window's. A file that is a licence file by name, or whose
 matching lines hold at least ``DOMINANT`` of its words, declares its licence for its directory.
 Files without a direct licence inherit from the nearest ancestor directory that declares
 one: directories are joined with their own ancestors' paths, never files with files.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_names, table
 
 THRESHOLD, DOMINANT = 0.75, 0.5
+#: Lines that are joined for a notice wrapped over lines; a line of over WRAP characters is not wrapped.
+WINDOWS, WRAP = (2, 3, 4, 5, 6, 8, 10), 200
 FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
 WORD_CUT = r"[^a-z0-9.]+"
 
@@ -51,6 +54,18 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
 }
 
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES'
+#: Heads of licence files, compared like the notices, and whole texts, compared with whole licence files.
+HEADS = {
+    "Apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+}
+WHOLE = {"BSD-3-Clause": [f"BSD 3-Clause License Copyright (c) All rights reserved. {_BSD}"], "MIT": [_GRANT, f"MIT License Copyright (c) {_GRANT} {_NOTICE} {_AS_IS}"]}
+
 
 def words_of(text: str) -> list[str]:
     import re
@@ -66,13 +81,18 @@ class Templates:
         df = Counter(w for _, _, c in rows for w in c)
         self.idf = {w: math.log((1 + len(rows)) / (1 + n)) + 1 for w, n in df.items()}
         self.other = math.log(1 + len(rows)) + 1
-        self.vectors = []
+        # heads and whole texts give no weights
+        for kind, more in (("head", HEADS), ("whole", WHOLE)):
+            rows += [(name, f"{name}#{kind}{i}", Counter(words_of(x))) for name, texts in sorted(more.items()) for i, x in enumerate(texts)]
+        self.vectors, self.whole = [], []
         anchors: set[str] = set()
         for name, place, c in rows:
-            v = {w: n * self.idf[w] for w, n in c.items()}
+            v = {w: n * self.idf.get(w, self.other) for w, n in c.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             v = {w: x / norm for w, x in v.items()}
-            self.vectors.append((name, place, v))
+            (self.whole if "#whole" in place else self.vectors).append((name, place, v))
+            if "#whole" in place:  # whole files are compared without a search
+                continue
             left = 1.0
             # common words last; known anchors first, then long words, which prose holds least
             for w in sorted(v, key=lambda w: (w in COMMON, w not in anchors, -len(w), w)):
@@ -99,23 +119,49 @@ def direct_licenses(files: DataFrame, path: str = "path", text: str = "text", te
 
     body = F.col(f"`{text}`")
     some = files.select(F.col(f"`{path}`").alias("p"), body.alias("x")).where(F.col("p").isNotNull() & hit(F.col("x")))
-    lines = some.select("p", F.regexp_count("x", F.lit(r"[^\x20\x09-\x0D]+")).alias("all"), F.posexplode(F.split("x", "\n")).alias("nth", "line")).where(hit(F.col("line")))
+    word = F.lit(r"[^\x20\x09-\x0D]+")
+    split = some.select("p", F.xxhash64("x").alias("row"), F.regexp_count("x", word).alias("all"), F.split("x", "\n").alias("ls"))
+    split = split.withColumn("hs", F.transform("ls", hit))
+    named = F.regexp_extract("p", r"([^/]*)$", 1).rlike(FILE_NAMES)  # only of files with a stem
+    size = F.size("ls")
+    start = F.explode(F.filter(F.sequence(F.lit(1), size), lambda i: F.exists(F.slice("hs", i, F.lit(max(WINDOWS))), lambda h: h)))
+    many = F.array(F.lit(1), *[F.lit(w) for w in WINDOWS])
+
+    def useful(i, w):
+        part = F.slice("ls", i, w)
+        short = F.forall(part, lambda x: F.length(x) <= WRAP)
+        # windows begin and end with words
+        ends = F.element_at(part, 1).rlike("[A-Za-z0-9]") & F.element_at(part, -1).rlike("[A-Za-z0-9]")
+        return F.exists(F.slice("hs", i, w), lambda h: h) & ((w == 1) | ((i + w - 1 <= size) & short & ends))
+
+    windows = split.select("p", "row", "all", "ls", "hs", start.alias("at")).select("*", F.explode(F.filter(many, lambda w: useful(F.col("at"), w))).alias("span"))
+    part = F.slice("ls", F.col("at"), F.col("span"))
+    counts = lambda a: F.transform(a, lambda x: F.regexp_count(x, word))
+    units = windows.select("p", "row", "all", "at", F.array_join(part, " ").alias("line"), counts(part).alias("longs"), F.lit(False).alias("whole"))
+    # a licence file is compared as a whole too
+    units = units.union(split.where(named & (size > 1)).select("p", "row", "all", F.lit(1), F.array_join("ls", " "), counts(F.col("ls")), F.lit(True)))
     tokens = F.filter(F.transform(F.split(F.lower("line"), WORD_CUT), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
-    lines = cut(lines.select("p", "all", F.xxhash64("p", "nth", "line").alias("id"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("long"), tokens.alias("ws")))
+    units = units.select("p", "row", "all", "at", "longs", "whole", F.xxhash64("p", "row", "at", "line", "whole").alias("id"), tokens.alias("ws"))
+    # the stems were found inside words: a unit without an anchor as a word cannot reach the threshold
+    lines = cut(units.where(F.col("whole") | F.arrays_overlap("ws", F.array(*[F.lit(w) for w in t.anchors]))))
     # bounded by the templates, so they may be broadcast
     idf = F.broadcast(spark.createDataFrame([(w, x) for w, x in sorted(t.idf.items())], "w string, idf double"))
-    vectors = F.broadcast(spark.createDataFrame([(n, k, w, x) for n, k, v in t.vectors for w, x in sorted(v.items())], "license string, template string, w string, v double"))
-    counts = lines.select("id", F.explode("ws").alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("tf"))
+    vectors = F.broadcast(spark.createDataFrame([(n, k, w, x) for n, k, v in t.vectors + t.whole for w, x in sorted(v.items())], "license string, template string, w string, v double"))
+    counts = lines.dropDuplicates(["id"]).select("id", F.explode("ws").alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("tf"))
     weighed = counts.join(idf, "w", "left").select("id", "w", (F.col("tf") * F.coalesce("idf", F.lit(t.other))).alias("x"))
     weighed = cut(weighed)
+    whole = lines.where("whole").select("id").distinct().withColumn("whole", F.lit(True))
     norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = weighed.join(vectors, "w").groupBy("id", "license", "template").agg(F.sum(F.col("x") * F.col("v")).alias("dot"))
     scored = dots.join(norms, "id").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    scored = scored.join(whole, "id", "left").where(F.col("whole") | ~F.col("template").contains("#whole"))
     best = scored.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "template", "license")).alias("b")).select("id", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.template").alias("template"))
-    per_line = lines.select("p", "id", "all", "long").dropDuplicates(["id"]).join(best, "id")
-    return per_line.groupBy(F.col("p").alias("path")).agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "template", "license")).alias("b"), F.sum("long").alias("matched"), F.max("all").alias("words")
-    ).select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "matched", "words")
+    found = cut(lines.select("p", "row", "at", "id", "all", "longs").dropDuplicates(["id"]).join(best, "id"))
+    # a line that stands in many matching windows counts once
+    covered = found.select("p", "row", "at", F.posexplode("longs").alias("k", "long")).groupBy("p", "row", (F.col("at") + F.col("k")).alias("nth")).agg(F.max("long").alias("long"))
+    matched = covered.groupBy("p").agg(F.sum("long").alias("matched"))
+    top = found.groupBy("p").agg(F.min(F.struct((-F.col("score")).alias("s"), "template", "license")).alias("b"), F.max("all").alias("words"))
+    return top.join(matched, "p").select(F.col("p").alias("path"), F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "matched", "words")
 
 
 def parent(path):

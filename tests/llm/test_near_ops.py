@@ -338,6 +338,23 @@ def test_license_lines_between_three_quarters_and_four_fifths(spark):
     assert got["a/LICENSE"] == ("MIT", "MIT") and got["a/b/x.py"] == (None, "MIT")
 
 
+WRAPPED = {
+    "gpl/a.c": ("GPL-3.0", "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint x;"),
+    "bsd/a.go": ("BSD-3-Clause", "// Copyright 2009 The Authors.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage x"),
+    "bsd2/a.c": ("BSD-3-Clause", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n\ncode"),
+    "mit/COPYING": ("MIT", "Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"),
+    "apache/LICENSE": ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    "gpl/COPYING": ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute verbatim copies"),
+}
+
+
+def test_wrapped_licenses(spark):
+    files = [(p, x) for p, (_, x) in WRAPPED.items()] + [("mit/src/a.py", "code"), ("other/a.py", "code\nfree\nfile")]
+    got = {r.path: (r.direct_license, r.license) for r in licenses.scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: got[p][0] for p in WRAPPED} == {p: name for p, (name, _) in WRAPPED.items()}
+    assert got["mit/src/a.py"] == (None, "MIT") and got["other/a.py"] == (None, None)
+
+
 def test_license_anchors_lose_no_line(spark):
     t = licenses.Templates()
     for _, _, v in t.vectors:
