@@ -6,6 +6,7 @@
   key, and a Python worker walks over runs of equal keys without one call per group.
 * ``connected_components``: alternating large-star / small-star over DataFrames.
 * ``simhash64``: bit majorities of 64-bit hashes, for many sequences at once.
+* ``filter_of``: a bitmap of hashes of one size, that keeps what cannot be wanted from being shuffled.
 * ``tile_groups`` / ``verify_groups``: exact checks inside candidate groups, cut
   into bounded tiles.
 """
@@ -21,16 +22,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Members of one tile when a large candidate group is cut for verification.
-TILE = 1000
+TILE = 500
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one only where none is set."""
+    """The session's shared checkpoint folder. Where none is set, a temporary one for a local
+    master, and an error for a cluster, whose executors would not see each other's files."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafcutter-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -178,6 +182,25 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the links ``a``-``b`` between ``n`` nodes that make up a spanning forest of least total
+    distance ``d``: every set of nodes that are closer to each other than to the rest is joined inside itself."""
+    comp, live, out = np.arange(n), np.arange(len(a)), []
+    rank = np.empty(len(a), dtype=np.int64)
+    rank[np.argsort(d, kind="stable")] = np.arange(len(a))
+    while True:
+        live = live[comp[a[live]] != comp[b[live]]]
+        if not len(live):
+            return np.concatenate(out) if out else live
+        best = np.full(n, len(a), dtype=np.int64)
+        np.minimum.at(best, comp[a[live]], rank[live])
+        np.minimum.at(best, comp[b[live]], rank[live])
+        picked = np.unique(best[best < len(a)])
+        at = live[np.isin(rank[live], picked)]
+        out.append(at)
+        comp = local_roots(n, np.concatenate([comp, a[at]]), np.concatenate([np.arange(n), b[at]]))
+
+
 class Forest:
     """Union-find with path halving, for the exact checks inside a tile."""
 
@@ -200,12 +223,29 @@ class Forest:
 # ------------------------------------------------------ connected components
 
 
+#: Rows from which hot keys are looked for: below it, a key with all of them is a small task. A key of over
+#: this share of the rows is hot, so there are at most twice the inverse of hot ones.
+HOT_ROWS, HOT_SHARE = 200_000, 1 / 1000
+
+
+def join_few(many: DataFrame, one: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join with ``one``, a row for each key with its number of rows in ``weight`` (dropped). Rows of
+    the few hot keys stay where they are, as their single rows are broadcast; the rest is shuffled."""
+    if total <= HOT_ROWS:
+        return many.join(one.drop(weight), keys)
+    hot = F.col(weight) > int(total * HOT_SHARE)
+    few = F.broadcast(one.where(hot).drop(weight))
+    return many.join(few, keys).unionByName(many.join(few, keys, "left_anti").join(one.where(~hot).drop(weight), keys))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node that has a link; root is the smallest node reachable.
 
     Alternates large-star and small-star steps until the links no longer change. Each
     round is joins and partial aggregates; nothing but a count and a checksum reaches
-    the driver. Loops and repeated links are allowed; null ends are dropped.
+    the driver. A node that has over ``HOT_SHARE`` of many links, such as the centre of a large
+    star, meets its links by a broadcast of those few nodes, so they stay where they are.
+    Loops and repeated links are allowed; null ends are dropped.
     """
     star = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     star = cut(star)
@@ -217,40 +257,73 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return star.select(F.col("u").alias("node"), F.col("v").alias("root")).union(star.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = mark
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("m", "u").alias("m"), "n")
         # large star: neighbours above a node move to the smallest neighbour
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_few(both.where("v > u"), low, ["u"], "n", mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: neighbours below a node, and the node, move to the smallest one
         near = large.join(low, "u")
         star = cut(near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
 
 
+# ------------------------------------------------------------- bounded filters
+
+#: Bits of a filter (16 MB), and of one of its pieces.
+FILTER_BITS, PIECE_BITS = 27, 16
+
+
+def filter_of(hashes: DataFrame, column: str):
+    """A broadcast bitmap of ``FILTER_BITS`` leading bits of 64-bit hashes: one size, however many there are.
+
+    What it lets through by chance is for a join to sort out; a full one would let all through."""
+    slot = F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS)
+    rows = hashes.select(F.shiftright(slot, PIECE_BITS).cast("int").alias("piece"), F.pmod(slot, F.lit(1 << PIECE_BITS)).cast("int").alias("bit")).distinct()
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        starts, bit = group_starts(t, ["piece"]), t.column("bit").to_numpy()
+        out = []
+        for s, e in zip(starts.tolist(), [*starts.tolist()[1:], t.num_rows], strict=True):
+            bits = np.zeros(1 << PIECE_BITS, dtype=bool)
+            bits[bit[s:e]] = True
+            out.append(np.packbits(bits).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(t.column("piece").to_numpy()[starts], pa.int32()), pa.array(out, pa.binary())], ["piece", "bits"])
+
+    whole = np.zeros((1 << (FILTER_BITS - PIECE_BITS), 1 << (PIECE_BITS - 3)), dtype=np.uint8)
+    for r in stream_groups(rows, ["piece"], work, "piece int, bits binary").collect():
+        whole[r.piece] = np.frombuffer(r.bits, dtype=np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+
+
+def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = (hashes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+
 # ------------------------------------------------- verification inside groups
 
 
 def tile_groups(members: DataFrame, group: str, node: str) -> DataFrame:
-    """Adds ``tile_a``, ``tile_b``: a group of up to ``TILE`` members is one tile, a larger one
+    """``members`` (counted first) with ``tile_a``, ``tile_b``: a group of up to ``TILE`` members is one tile, a larger one
     is cut into tiles by a hash and each pair of tiles meets once, so no task holds over
     two tiles' members of a group."""
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    m = members.join(sizes, group)
+    m = join_few(members, sizes.withColumn("_w", F.col("_n")), [group], "_w", members.count())
     tiles = F.ceil(F.col("_n") / F.lit(TILE)).cast("int")
     own = F.pmod(F.xxhash64(F.col(node), F.lit(7)), tiles.cast("long")).cast("int")
     m = m.withColumn("_t", own).withColumn("_o", F.explode(F.sequence(F.lit(0), tiles - 1)))
     return m.withColumn("tile_a", F.least("_t", "_o")).withColumn("tile_b", F.greatest("_t", "_o")).drop("_n", "_o")
 
 
-def verify_groups(members: DataFrame, group: str, node: str, fp: str, tau: int, prepare: Callable, linked: Callable) -> DataFrame:
+def verify_groups(tiled: DataFrame, group: str, node: str, fp: str, tau: int, prepare: Callable, linked: Callable, screen: Callable | None = None) -> DataFrame:
     """Verified links ``(a, b)`` between nodes of the same group, as stars.
 
-    ``members``: group, node, fp (all long) and payload columns, one row per node. Pairs whose
+    ``tiled``: rows of ``tile_groups`` with group, node, fp (all long) and payload columns. Pairs whose
     fingerprints differ in at most ``tau`` bits are decided by ``linked(x, y)`` on the items that
-    ``prepare`` makes of a tile's table. Pairs that are already connected inside the tile need no
+    ``prepare`` makes of a tile's table; ``screen``, made of the same table, tells for a place which earlier
+    ones are worth it. Pairs that are already connected inside the tile need no
     check, so a group of thousands of copies costs about one check for each member; all other
     pairs are checked, so no link that matters for the components is lost.
     """
-    tiled = tile_groups(members, group, node)
     keys = [group, "tile_a", "tile_b"]
 
     def work(t: pa.Table) -> pa.RecordBatch | None:
@@ -260,9 +333,12 @@ def verify_groups(members: DataFrame, group: str, node: str, fp: str, tau: int,
             part = t.slice(s, e - s).combine_chunks()
             ids, bits = part.column(node).to_pylist(), part.column(fp).to_numpy().view(np.uint64)
             items, forest = prepare(part), Forest(len(ids))
+            worth = screen(part) if screen else None
             for i in range(1, len(ids)):
-                # the latest first: copies of a copy are often closest to it
-                for j in np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= tau)[::-1].tolist():
+                far = np.bitwise_count(bits[:i] ^ bits[i])
+                near = np.flatnonzero((far <= tau) & worth(i) if worth else far <= tau)
+                # the closest first, and of these the latest: copies of a copy are often closest to it
+                for j in near[::-1][np.argsort(far[near[::-1]], kind="stable")].tolist():
                     if forest.find(i) != forest.find(j) and linked(items[i], items[j]):
                         forest.join(i, j)
             for i in range(len(ids)):

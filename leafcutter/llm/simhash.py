@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import give_back_memory, slices
-from .common import bit_majority, connected_components, cut, fresh_names, group_starts, local_roots, runs_of, table, verify_groups
+from .common import bit_majority, connected_components, cut, fresh_names, group_starts, local_roots, nearest_forest, runs_of, table, tile_groups, verify_groups
 
 SEED = 42
 #: Fingerprints in the sample on which costs are estimated.
@@ -203,9 +203,10 @@ def dealt_again(keyed: DataFrame, plan: list[tuple[list[int], int]], tau: int, l
     return keyed.mapInArrow(work, "bucket long, part int, node long, fp long")
 
 
-def links_in_buckets(keyed: DataFrame, tau: int, limit: int | None = None) -> DataFrame:
+def links_in_buckets(keyed: DataFrame, tau: int, limit: int | None = None, nearest: bool = False) -> DataFrame:
     """Stars ``(a, b)`` over nodes of a bucket that are connected by links within ``tau`` bits.
-    A bucket of over ``limit`` rows is only named: ``(bucket, null)``."""
+    A bucket of over ``limit`` rows is only named: ``(bucket, null)``. ``nearest``: in place of stars, the links of a
+    forest of least distance, so each is a pair within ``tau`` bits."""
 
     def links(t: pa.Table):
         fp = t.column("fp").to_numpy().view(np.uint64)
@@ -227,19 +228,30 @@ def links_in_buckets(keyed: DataFrame, tau: int, limit: int | None = None) -> Da
             b.append(near + d)
         for s, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
             mine, step = fp[s : s + size], max(1, 2_000_000 // size)
+            forest = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
             for r in range(0, size, step):
                 x, y = np.nonzero(np.bitwise_count(mine[r : r + step, None] ^ mine[None, r:]) <= tau)
                 ok = x < y
                 x, y = x[ok], y[ok]
-                if len(x):
+                if len(x) and nearest:  # the forest so far with the new links
+                    x, y = np.concatenate([forest[0], x + r]), np.concatenate([forest[1], y + r])
+                    at = nearest_forest(size, x, y, np.bitwise_count(mine[x] ^ mine[y]))
+                    forest = x[at], y[at]
+                elif len(x):
                     root = local_roots(size - r, x, y)
                     at = np.flatnonzero(root != np.arange(size - r))
                     a.append(at + (s + r))
                     b.append(root[at] + (s + r))
+            a.append(forest[0] + s)
+            b.append(forest[1] + s)
         a, b = np.concatenate(a or [i[:0]]), np.concatenate(b or [i[:0]])
-        root = local_roots(n, a, b)
-        at = np.flatnonzero(root != np.arange(n))
-        a, b = node[at], node[root[at]]
+        if nearest:
+            at = nearest_forest(n, a, b, np.bitwise_count(fp[a] ^ fp[b]))
+            a, b = node[a[at]], node[b[at]]
+        else:
+            root = local_roots(n, a, b)
+            at = np.flatnonzero(root != np.arange(n))
+            a, b = node[at], node[root[at]]
         ok = a != b
         return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
@@ -267,11 +279,12 @@ def link_fingerprints(rows: DataFrame, tau: int, banded: bool = False) -> DataFr
     return link_keyed(block_keys(rows, plan, banded), plan, tau)
 
 
-def link_keyed(keyed: DataFrame, plan: list[tuple[list[int], int]], tau: int) -> DataFrame:
-    """Stars over the pairs within ``tau`` bits of ``(bucket, part, node, fp)``; hot buckets are dealt again."""
+def link_keyed(keyed: DataFrame, plan: list[tuple[list[int], int]], tau: int, nearest: bool = False) -> DataFrame:
+    """Stars over the pairs within ``tau`` bits of ``(bucket, part, node, fp)`` (``nearest``: as in
+    ``links_in_buckets``); hot buckets are dealt again."""
     out = None
     for level in range(3):
-        found = cut(links_in_buckets(keyed, tau, HOT if level < 2 else None))
+        found = cut(links_in_buckets(keyed, tau, HOT if level < 2 else None, nearest))
         links = found.where(F.col("b").isNotNull())
         out = links if out is None else out.union(links)
         hot = found.where(F.col("b").isNull()).select(F.col("a").alias("bucket"))
@@ -359,7 +372,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both >= similarity * (small + large - both)
 
-    return cut(connected_components(verify_groups(members, "grp", "node", "fp", 64, prepare, linked)))
+    return cut(connected_components(verify_groups(tile_groups(members, "grp", "node"), "grp", "node", "fp", 64, prepare, linked)))
 
 
 #: Keys up to which a side is broadcast (16 bytes each: 32 MB at most).
@@ -376,14 +389,14 @@ def semi_join_text(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
 def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest key
     (null last), and the first text in hash order among equal keys."""
-    node, root, nth = fresh_names(docs.columns, "_node", "_root", "_nth")
+    node, root, nth, wk, wt = fresh_names(docs.columns, "_node", "_root", "_nth", "_wk", "_wt")
     groups = jaccard_groups(docs, key, text, **how).select(F.col("node").alias(node), F.col("root").alias(root))
-    small = docs.select(F.col(key), text_node(F.col(text)).alias(node)).distinct()
+    small = docs.select(F.col(f"`{key}`"), text_node(F.col(f"`{text}`")).alias(node)).distinct()
     small = small.join(groups, node, "left").withColumn(root, F.coalesce(root, node))
     best = small.groupBy(root).agg(F.min(F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("k"), F.col(node).alias("t"))).alias("w"))
-    best = best.select(F.col("w.k").alias("_wk"), F.col("w.t").alias("_wt"))
+    best = best.select(F.col("w.k").alias(wk), F.col("w.t").alias(wt))
     named = docs.withColumn(node, text_node(F.col(f"`{text}`")))
-    kept = named.join(best, (F.col(node) == F.col("_wt")) & F.col(key).eqNullSafe(F.col("_wk")), "left_semi")
+    kept = named.join(best, (F.col(node) == F.col(wt)) & F.col(f"`{key}`").eqNullSafe(F.col(wk)), "left_semi")
     kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(node, key).orderBy(F.lit(1))))
     return kept.where(F.col(nth) == 1).drop(node, nth)
 

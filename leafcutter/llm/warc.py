@@ -4,13 +4,15 @@ Writing: each task writes compressed archives (one gzip member per record) to th
 folder, under names that hold the task attempt, and a locally sorted run of index entries. Of
 equal payloads one record is the response, the others are revisits that refer to it.
 
-Merging: the runs are cut at key bounds from a bounded sample; for each range, the runs'
-pieces are merged by a loser tree on (URL key, timestamp, page), so the ranges in order are the
-captures of the whole table in order, each URL's history in one stretch. Ranges are cut on
-the full key, so a URL or host that fills any share of the rows is spread over ranges.
+Merging: the runs are cut at key bounds from a sample (so many entries a range), in ranges of bounded
+size; for each range, the runs' pieces are merged by a loser tree on (URL key, timestamp, page), which reads
+each piece block by block, so the ranges in order are the captures of the whole table in order, each URL's
+history in one stretch. Ranges are cut on the full key, so a URL or host that fills any share of the
+rows is spread over ranges.
 
-Reading: archives are read back as a whole; a record counts if the merged index lists it, and a
-revisit takes its length from the response it refers to, after comparing digests.
+Reading: the merged index is dealt by archive, and each record that it lists is read at its offset; a
+revisit takes its length from the response it refers to, after comparing digests. Neither bodies nor
+revisits meet on a payload's key, so a payload of any share of the rows is no task of its own.
 
 Defined cases: a null page is an empty payload; a null URL gets an empty key; of equal
 payloads that with the largest ``page_id`` is the response (null is smallest; rows equal in
@@ -28,16 +30,19 @@ import zlib
 from bisect import bisect_right
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ensure_checkpoint_dir, runs_of, table
+from .common import cut, ensure_checkpoint_dir, group_starts, join_few, runs_of, table
 from .token_binary import as_uri, read_file, write_file
 
-#: Bytes of an archive, entries of the sample for bounds.
-ARCHIVE_BYTES, SAMPLE = 32_000_000, 4096
+#: Bytes of an archive; entries of a range of the merge, of the sample for each of its bounds, and of a block.
+ARCHIVE_BYTES, RANGE, PER_BOUND, BLOCK = 32_000_000, 200_000, 20, 1024
+#: Tasks that read archives at most at a time.
+READERS = 20_000
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -71,22 +76,15 @@ def record(kind: str, url: str | None, page: int | None, date: str, digest: str,
     return c.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + c.flush()
 
 
-def records(data: bytes):
-    """``(offset, headers, payload)`` of each record of an archive."""
-    view, at = memoryview(data), 0
-    while at < len(data):
-        d, end, parts = zlib.decompressobj(31), at, []
-        while not d.eof and end < len(data):  # in pieces, as what is left over is copied
-            piece = view[end : end + 32_768]
-            parts.append(d.decompress(piece))
-            end += len(piece)
-        end -= len(d.unused_data)
-        raw = b"".join(parts)
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        block = rest[: int(headers["Content-Length"])]
-        yield at, headers, block.partition(b"\r\n\r\n")[2]
-        at = end
+def record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes]:
+    """Headers and payload of the record that begins at ``at``."""
+    view, d, parts = memoryview(data), zlib.decompressobj(31), []
+    while not d.eof and at < len(data):  # in pieces, as what is left over is copied
+        parts.append(d.decompress(view[at : at + 32_768]))
+        at += 32_768
+    head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
+    headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    return headers, rest[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 class LoserTree:
@@ -129,8 +127,11 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     folder = folder or f"{as_uri(ensure_checkpoint_dir(spark)).rstrip('/')}/warc-{uuid.uuid4().hex}"
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), body.alias("_body")).withColumn("_sha", F.sha2("_body", 256))
-    groups = rows.groupBy("_sha").agg(F.max("_key").alias("_best"))
-    typed = rows.join(groups, "_sha").select("_key", "_url", "_body", F.when(~F.col("_key").eqNullSafe(F.col("_best")) & (F.length("_body") >= least), F.col("_best")).alias("_refers"))
+    small = cut(rows.select("_key", "_sha", F.length("_body").alias("_size")))
+    groups = small.where(F.col("_size") >= least).groupBy("_sha").agg(F.max("_key").alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = join_few(small.select("_key", "_sha").distinct(), groups, ["_sha"], "_n", small.count())
+    again = again.where(~F.col("_key").eqNullSafe(F.col("_best"))).select(F.col("_key").alias("_k2"), F.col("_sha").alias("_s2"), F.col("_best").alias("_refers"))
+    typed = rows.join(again, F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_sha") == F.col("_s2")), "left").select("_key", "_url", "_body", "_refers")
 
     def work(batches):
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
@@ -166,68 +167,86 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
 
 def merge_index(index: DataFrame) -> DataFrame:
     """``(slot, rank, k, ts, page, uri, offset)``: all entries in global order of (slot, rank)."""
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sample = index.orderBy(F.xxhash64("uri", "offset")).limit(SAMPLE).select("k", "ts", "page").collect()
+    parts = -(-index.count() // RANGE)
+    sample = index.orderBy(F.xxhash64("uri", "offset")).limit(PER_BOUND * parts).select("k", "ts", "page").collect() if parts > 1 else []
     keys = sorted((r.k, r.ts, r.page is not None, r.page or 0) for r in sample)
-    bounds = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+    bounds = [keys[len(keys) * i // parts] for i in range(1, parts)]
+
+    def entry(k, t, p):
+        return k, t, p is not None, p or 0
 
     def place(batches):
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in ("k", "ts", "page")), strict=True)
-            slot = [bisect_right(bounds, (k, t, p is not None, p or 0)) for k, t, p in rows]
+            slot = [bisect_right(bounds, entry(*r)) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), *b.columns], names=["slot", *b.schema.names])
 
+    def piece(t: pa.Table, start: int, end: int):
+        for s in range(start, end, BLOCK):
+            block = t.slice(s, min(BLOCK, end - s))
+            for i, r in enumerate(zip(*(block.column(c).to_pylist() for c in ("k", "ts", "page")), strict=True)):
+                yield entry(*r), s + i
+
     def merge(batches):
         for t in runs_of(batches, ["slot"]):
-            cols = {c: t.column(c).to_pylist() for c in t.schema.names}
-            pieces: dict[tuple[int, int], list] = {}
-            for i, (s, r) in enumerate(zip(cols["slot"], cols["run"], strict=True)):
-                p = cols["page"][i]
-                pieces.setdefault((s, r), []).append(((cols["k"][i], cols["ts"][i], p is not None, p or 0), i))
-            for slot in sorted({s for s, _ in pieces}):
-                order = [i for _, i in LoserTree([x for (s, _), x in pieces.items() if s == slot])]
-                got = t.take(pa.array(order)).drop_columns(["run", "pos"])
-                got = got.add_column(1, "rank", pa.array(range(len(order)), pa.int64()))
-                yield from got.to_batches()
+            starts = [*group_starts(t, ["slot"]).tolist(), t.num_rows]
+            for s, e in zip(starts, starts[1:], strict=False):
+                mine = t.slice(s, e - s).combine_chunks()
+                runs = [*group_starts(mine, ["run"]).tolist(), mine.num_rows]
+                order = np.fromiter((i for _, i in LoserTree([piece(mine, x, y) for x, y in zip(runs, runs[1:], strict=False)])), dtype=np.int64, count=mine.num_rows)
+                for x in range(0, len(order), BLOCK):
+                    got = mine.take(pa.array(order[x : x + BLOCK])).drop_columns(["run", "pos"])
+                    yield from got.add_column(1, "rank", pa.array(np.arange(x, x + got.num_rows))).combine_chunks().to_batches()
 
     kind = "run long, pos int, k string, ts string, page long, uri string, offset long"
     placed = index.mapInArrow(place, "slot int, " + kind)
-    return placed.repartition("slot").sortWithinPartitions("slot", "run", "pos").mapInArrow(merge, "slot int, rank long, k string, ts string, page long, uri string, offset long")
+    return placed.repartition(max(1, parts), "slot").sortWithinPartitions("slot", "run", "pos").mapInArrow(merge, "slot int, rank long, k string, ts string, page long, uri string, offset long")
+
+
+READ = {"slot": pa.int32(), "rank": pa.int64(), "page_id": pa.int64(), "kind": pa.string(), "bytes": pa.int64(), "digest": pa.string(), "refers": pa.int64()}
 
 
-def read_archives(index: DataFrame) -> DataFrame:
-    """``(uri, offset, page_id, kind, bytes, digest, refers)`` of each record in the index's archives."""
+def read_archives(merged: DataFrame) -> DataFrame:
+    """``(slot, rank, page_id, kind, bytes, digest, refers)`` of each record that the merged index lists,
+    read at its offset. An archive is opened once, by the task that has its entries."""
 
     def work(batches):
+        uri, data = None, b""
         for b in batches:
-            for uri in b.column("uri").to_pylist():
-                out = {c: [] for c in ("uri", "offset", "page_id", "kind", "bytes", "digest", "refers")}
-                for at, h, payload in records(read_file(uri)):
-                    stated = h["WARC-Payload-Digest"].removeprefix("sha1:")
-                    real = h["WARC-Type"] == "response"
-                    if real and base64.b32encode(hashlib.sha1(payload).digest()).decode() != stated:
-                        raise ValueError(f"payload of the record at {at} in {uri} does not have its digest")
-                    page, refers = h.get("X-Page-ID"), h.get("X-Refers-To-Page-ID")
-                    row = (uri, at, int(page) if page else None, h["WARC-Type"], len(payload) if real else None, stated, int(refers) if refers else None)
-                    for c, v in zip(out, row, strict=True):
-                        out[c].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out["uri"], pa.string()), *(pa.array(out[c], pa.int64()) for c in ("offset", "page_id")), pa.array(out["kind"], pa.string()), pa.array(out["bytes"], pa.int64()), pa.array(out["digest"], pa.string()), pa.array(out["refers"], pa.int64())], names=[*out])
-
-    files = index.select("uri").distinct()
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(parts, "uri").mapInArrow(work, "uri string, offset long, page_id long, kind string, bytes long, digest string, refers long")
+            out = {c: [] for c in READ}
+            for slot, rank, where, at in zip(*(b.column(c).to_pylist() for c in ("slot", "rank", "uri", "offset")), strict=True):
+                if where != uri:
+                    uri, data = where, read_file(where)
+                h, payload = record_at(data, at)
+                stated = h["WARC-Payload-Digest"].removeprefix("sha1:")
+                real = h["WARC-Type"] == "response"
+                if real and base64.b32encode(hashlib.sha1(payload).digest()).decode() != stated:
+                    raise ValueError(f"payload of the record at {at} in {uri} does not have its digest")
+                page, refers = h.get("X-Page-ID"), h.get("X-Refers-To-Page-ID")
+                row = (slot, rank, int(page) if page else None, h["WARC-Type"], len(payload) if real else None, stated, int(refers) if refers else None)
+                for c, v in zip(out, row, strict=True):
+                    out[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, READ[c]) for c, v in out.items()], names=[*out])
+
+    files = merged.select("uri").distinct().count()
+    # by number, so that small rows that stand for large files are not put together in one task
+    dealt = merged.select("slot", "rank", "uri", "offset").repartitionByRange(max(1, min(files, READERS)), "uri").sortWithinPartitions("uri", "offset")
+    return dealt.mapInArrow(work, "slot int, rank long, page_id long, kind string, bytes long, digest string, refers long")
 
 
 def round_trip(pages: DataFrame, **how) -> DataFrame:
     """Write, merge, read: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``."""
-    index = write_archives(pages, **how)
-    merged = merge_index(index).select("uri", "offset")
-    seen = cut(read_archives(index).join(merged, ["uri", "offset"]))
-    full = seen.where("kind = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    there = seen.where("kind = 'response'").groupBy(F.col("page_id").alias("refers"), "digest").agg(F.max("bytes").alias("full"))
-    again = seen.where("kind = 'revisit'").join(there, ["refers", "digest"], "left")
-    size = F.when(F.col("full").isNotNull(), F.col("full")).otherwise(F.raise_error(F.lit("a revisit refers to no response with its digest")).cast("long"))
-    return full.union(again.select("page_id", size, "digest", "kind", "refers"))
+    seen = cut(read_archives(cut(merge_index(write_archives(pages, **how)))))
+    full, again = seen.where("kind = 'response'"), seen.where("kind = 'revisit'")
+    asked = again.groupBy("refers", "digest").agg(F.count(F.lit(1)).alias("times"))
+    there = full.select(F.col("page_id").alias("refers"), "digest", "bytes").distinct().withColumnRenamed("bytes", "full").join(asked, ["refers", "digest"])
+    there = cut(there)
+    total = again.count()
+    if total != (there.agg(F.sum("times")).first()[0] or 0):
+        raise ValueError("a revisit refers to no response with its digest")
+    again = join_few(again, there, ["refers", "digest"], "times", total)
+    full = full.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return full.union(again.select("page_id", "full", "digest", "kind", "refers"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
