@@ -161,7 +161,12 @@ def direct_licenses(files: DataFrame, path: str = "path", text: str = "text", te
     covered = found.select("p", "row", "at", F.posexplode("longs").alias("k", "long")).groupBy("p", "row", (F.col("at") + F.col("k")).alias("nth")).agg(F.max("long").alias("long"))
     matched = covered.groupBy("p").agg(F.sum("long").alias("matched"))
     top = found.groupBy("p").agg(F.min(F.struct((-F.col("score")).alias("s"), "template", "license")).alias("b"), F.max("all").alias("words"))
-    return top.join(matched, "p").select(F.col("p").alias("path"), F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "matched", "words")
+    # rows of one path are one file: its words are those of all its different rows, with or without a licence
+    every = files.select(F.col(f"`{path}`").alias("p"), body.alias("x"))
+    several = cut(every.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(top.select("p"), "p", "left_semi").select("p"))
+    sums = every.join(several, "p").groupBy("p", F.xxhash64("x").alias("row")).agg(F.max(F.regexp_count("x", word)).alias("n")).groupBy("p").agg(F.sum("n").alias("sum"))
+    top = top.join(matched, "p").join(sums, "p", "left").withColumn("words", F.coalesce("sum", "words"))
+    return top.select(F.col("p").alias("path"), F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "matched", "words")
 
 
 def parent(path):
@@ -169,27 +174,27 @@ def parent(path):
 
 
 def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", **how) -> DataFrame:
-    """``files`` without the text, with direct_license, score, license, inherited_from, status."""
-    d, = fresh_names(files.columns, "_dir")
+    """``files`` without the text, with direct_license, score, license, inherited_from, status (with
+    ``_`` after a name that ``files`` has)."""
+    rest = [c for c in files.columns if c != text]
+    d, p2, own_, up_ = fresh_names(files.columns, "_dir", "_path", "_own", "_nearest")
+    names = fresh_names(rest, "direct_license", "score", "license", "inherited_from", "status")
     direct = cut(direct_licenses(files, path, text, **how))
     declares = F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAMES) | (F.col("matched") >= DOMINANT * F.col("words"))
     declared = direct.where(declares).groupBy(parent(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("matched")).alias("m"), "license", "path")).alias("b")).select("dir", F.col("b.license").alias("declared"))
     declared = cut(declared)
-    rest = [F.col(f"`{c}`") for c in files.columns if c != text]
-    rows = files.select(*rest, parent(F.col(f"`{path}`")).alias(d))
+    rows = files.select(*[F.col(f"`{c}`") for c in rest], parent(F.col(f"`{path}`")).alias(d))
     # each directory with its ancestors, itself included, the root last
     dirs = rows.select(F.col(d).alias("dir")).where(F.col("dir").isNotNull()).distinct()
     steps = F.split("dir", "/")
     chain = dirs.select("dir", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))).alias("depth", "up"))
-    nearest = chain.join(declared.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct("depth", "declared", "up")).alias("b"))
-    nearest = nearest.select(F.col("dir").alias(d), F.col("b.declared").alias("_declared"), F.col("b.up").alias("_up"))
-    own = direct.select(F.col("path").alias(path), F.col("license").alias("direct_license"), "score")
-    out = rows.join(own, path, "left").join(nearest, d, "left")
-    mine = F.col("direct_license").isNotNull()
-    return out.select(
-        *rest, "direct_license", "score", F.coalesce("direct_license", "_declared").alias("license"),
-        F.when(~mine, F.col("_up")).alias("inherited_from"), F.when(mine, "direct").when(F.col("_declared").isNotNull(), "inherited").otherwise("none").alias("status"),
-    )
+    nearest = chain.join(declared.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct("depth", "declared", "up")).alias(up_)).withColumnRenamed("dir", d)
+    own = direct.select(F.col("path").alias(p2), F.struct("license", "score").alias(own_))
+    out = rows.join(own, F.col(f"`{path}`") == F.col(p2), "left").join(nearest, d, "left")
+    direct_, near = F.col(f"{own_}.license"), F.col(f"{up_}.declared")
+    mine = direct_.isNotNull()
+    values = [direct_, F.col(f"{own_}.score"), F.coalesce(direct_, near), F.when(~mine, F.col(f"{up_}.up")), F.when(mine, "direct").when(near.isNotNull(), "inherited").otherwise("none")]
+    return out.select(*[F.col(f"`{c}`") for c in rest], *[v.alias(n) for v, n in zip(values, names, strict=True)])
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
