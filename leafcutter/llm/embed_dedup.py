@@ -33,6 +33,8 @@ THRESHOLD = 0.93
 SAMPLE = 4096
 #: Vectors of a tile, slices of the first coordinate per label, coordinates of a tile's box.
 TILE, SLICES, BOX = 2048, 64, 4
+#: Keys over which a label's boxes are joined.
+DEAL = 32
 #: Slack of the bounds, above rounding errors of the rotated products.
 SLACK = 1e-9
 
@@ -126,9 +128,11 @@ def near_embeddings(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     tile = F.when(tiles <= SLICES, F.floor(piece * tiles / SLICES).cast("int")).otherwise(piece * wide + spread)
     placed = cut(placed.join(cuts, ["lab", "dim"]).withColumn("tile", tile).drop("n", "q"))
     boxes = placed.groupBy("lab", "dim", "tile").agg(*[f(f"p{k}").alias(f"{f.__name__}{k}") for k in range(BOX) for f in (F.min, F.max)])
-    x, y = boxes.alias("x"), boxes.alias("y")
+    # a label's pairs of tiles are dealt over DEAL keys
+    boxes = cut(boxes)
+    x, y = boxes.withColumn("deal", F.pmod("tile", F.lit(DEAL))).alias("x"), boxes.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1)))).alias("y")
     gap = sum(F.pow(F.greatest(F.lit(0.0), F.col(f"x.min{k}") - F.col(f"y.max{k}"), F.col(f"y.min{k}") - F.col(f"x.max{k}")), F.lit(2.0)) for k in range(BOX))
-    meet = x.join(y, (F.col("x.lab") == F.col("y.lab")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.tile") <= F.col("y.tile")) & (gap <= 2 * (1 - threshold) + SLACK))
+    meet = x.join(y, (F.col("x.deal") == F.col("y.deal")) & (F.col("x.lab") == F.col("y.lab")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.tile") <= F.col("y.tile")) & (gap <= 2 * (1 - threshold) + SLACK))
     meet = cut(meet.select(F.col("x.lab").alias("lab"), F.col("x.dim").alias("dim"), F.col("x.tile").alias("ta"), F.col("y.tile").alias("tb")))
     sides = meet.withColumn("tile", F.explode(F.array_distinct(F.array("ta", "tb"))))
     dealt = placed.select("node", "copies", "lab", "dim", "_v", "tile").join(sides, ["lab", "dim", "tile"])

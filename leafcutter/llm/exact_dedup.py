@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, group_starts, stream_groups, table
+from .common import cut, group_starts, join_few, stream_groups, table
 from .simhash import semi_join_text
 
 #: Bits of a fingerprint. Chance hits only make more suspects.
 BITS = 48
-#: Rows of a block.
-BLOCK_ROWS = 65_536
+#: Rows of a block, and fingerprints of an owner on average.
+BLOCK_ROWS, OWNED = 65_536, 2_000_000
 
 
 def rice_encode(values: np.ndarray, k: int) -> bytes:
@@ -139,9 +139,10 @@ def answer(messages: DataFrame) -> DataFrame:
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, keep_id, group_size, kept, text_sha256)`` for every row of ``docs``."""
     spark = docs.sparkSession
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(key).alias("_key"), F.sha2(body, 256).alias("sha"))
+    # as many owners as keep the fingerprints of each within bounds
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // OWNED))
     sent = cut(send(rows, owners, docs.schema[key].dataType.simpleString()))
     messages = sent.where(F.col("payload").isNotNull())
     mine = sent.where(F.col("payload").isNull()).drop("payload")
@@ -156,8 +157,8 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     texts = texts.groupBy("sha").agg(F.count(F.lit(1)).alias("variants"), F.sum("copies").alias("copies"))
     groups = suspects.groupBy("sha").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("_key", "block", "nth")).alias("w"))
     same = (F.col("variants") == 1) & (F.col("copies") == F.col("group_size"))
-    groups = groups.join(texts, "sha").select("sha", F.when(same, F.col("group_size")).otherwise(F.raise_error(F.lit("texts with one digest differ in their bytes")).cast("long")).alias("group_size"), "w")
-    found = suspects.join(groups, "sha", "left").select(F.col("_key").alias(key), F.col("w._key").alias("keep_id"), "group_size", ((F.col("block") == F.col("w.block")) & (F.col("nth") == F.col("w.nth"))).alias("kept"), F.col("sha").alias("text_sha256"))
+    groups = groups.join(texts, "sha").select("sha", F.col("group_size").alias("_w"), F.when(same, F.col("group_size")).otherwise(F.raise_error(F.lit("texts with one digest differ in their bytes")).cast("long")).alias("group_size"), "w")
+    found = join_few(suspects, cut(groups), ["sha"], "_w", suspects.count()).select(F.col("_key").alias(key), F.col("w._key").alias("keep_id"), "group_size", ((F.col("block") == F.col("w.block")) & (F.col("nth") == F.col("w.nth"))).alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.union(found)
 
 

@@ -72,7 +72,7 @@ def mix_plan(rows: DataFrame, base: DataFrame | None = None, key: str = "doc_id"
     ``base`` gives the sums (by default ``rows``). ``cut`` is the number of words of the last,
     partial copy, ``epochs`` the number of whole copies.
     """
-    s, h, n, b1, b2, before = fresh_names(rows.columns, "_s", "_h", "_n", "_b1", "_b2", "_before")
+    s, h, n, b1, b2, before, js, j1, j2 = fresh_names(rows.columns, "_s", "_h", "_n", "_b1", "_b2", "_before", "_js", "_j1", "_j2")
     size = F.col(size) if isinstance(size, str) else size
     keyed = _keyed(rows, key, source, size, [s, h, n], seed).withColumns({b1: F.substring(h, 1, 2), b2: F.substring(h, 3, 2)})
     sums = (base if base is not None else rows)
@@ -84,8 +84,8 @@ def mix_plan(rows: DataFrame, base: DataFrame | None = None, key: str = "doc_id"
     tops = tops.withColumn("before1", F.coalesce(F.sum("sum1").over(Window.partitionBy("s").orderBy("b1").rowsBetween(*upto)), F.lit(0)))
     tops = tops.join(targets, "s").drop("sum1")
     lows = sums.withColumn("before2", F.coalesce(F.sum("sum2").over(Window.partitionBy("s", "b1").orderBy("b2").rowsBetween(*upto)), F.lit(0)))
-    offsets = lows.join(tops, ["s", "b1"]).select(F.struct("source_size", "target", "budget", (F.col("before1") + F.col("before2")).alias("before")).alias(before), F.col("s").alias("_js"), F.col("b1").alias("_j1"), F.col("b2").alias("_j2"))
-    j = keyed.join(offsets, (F.col(s) == F.col("_js")) & (F.col(b1) == F.col("_j1")) & (F.col(b2) == F.col("_j2")), "left")
+    offsets = lows.join(tops, ["s", "b1"]).select(F.struct("source_size", "target", "budget", (F.col("before1") + F.col("before2")).alias("before")).alias(before), F.col("s").alias(js), F.col("b1").alias(j1), F.col("b2").alias(j2))
+    j = keyed.join(offsets, (F.col(s) == F.col(js)) & (F.col(b1) == F.col(j1)) & (F.col(b2) == F.col(j2)), "left")
     inside = Window.partitionBy(s, b1, b2).orderBy(h, F.col(key), n).rowsBetween(*upto)
     at = F.col(f"{before}.before") + F.coalesce(F.sum(n).over(inside), F.lit(0))
     total, budget = F.col(f"{before}.source_size"), F.col(f"{before}.budget")
