@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_names, table
 
 THRESHOLD, DOMINANT = 0.75, 0.5
-#: Lines that are joined for a notice wrapped over lines; a line of over WRAP characters is not wrapped.
+#: Lines that are joined for a notice wrapped over lines, where the first and the last hold a word of a template
+#: other than ``COMMON``; a line of over WRAP characters is not wrapped.
 WINDOWS, WRAP = (2, 3, 4, 5, 6, 8, 10), 200
 FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
 WORD_CUT = r"[^a-z0-9.]+"
@@ -74,7 +75,7 @@ def words_of(text: str) -> list[str]:
 
 
 class Templates:
-    """Unit TF-IDF vectors of the notices, idf of other words, and anchors."""
+    """Unit TF-IDF vectors of the notices, idf of other words, anchors, and telling words (not common ones)."""
 
     def __init__(self, notices: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD):
         rows = [(name, f"{name}#{i}", Counter(words_of(t))) for name, texts in sorted(notices.items()) for i, t in enumerate(texts)]
@@ -101,6 +102,7 @@ class Templates:
                 anchors.add(w)
                 left -= v[w] ** 2
         self.anchors = sorted(anchors)
+        self.telling = sorted({w for _, _, v in self.vectors for w in v} - COMMON)
 
     @property
     def stems(self) -> list[str]:
@@ -121,33 +123,39 @@ def direct_licenses(files: DataFrame, path: str = "path", text: str = "text", te
     some = files.select(F.col(f"`{path}`").alias("p"), body.alias("x")).where(F.col("p").isNotNull() & hit(F.col("x")))
     word = F.lit(r"[^\x20\x09-\x0D]+")
     split = some.select("p", F.xxhash64("x").alias("row"), F.regexp_count("x", word).alias("all"), F.split("x", "\n").alias("ls"))
-    split = split.withColumn("hs", F.transform("ls", hit))
+    telling = F.array(*[F.lit(w) for w in t.telling])
+    tells = lambda x: (F.length(x) <= WRAP) & F.arrays_overlap(F.split(F.lower(x), WORD_CUT), telling)
+    split = split.withColumn("hs", F.transform("ls", hit)).withColumn("ts", F.transform("ls", tells))
     named = F.regexp_extract("p", r"([^/]*)$", 1).rlike(FILE_NAMES)  # only of files with a stem
     size = F.size("ls")
-    start = F.explode(F.filter(F.sequence(F.lit(1), size), lambda i: F.exists(F.slice("hs", i, F.lit(max(WINDOWS))), lambda h: h)))
+    start = F.explode(F.filter(F.sequence(F.lit(1), size), lambda i: F.element_at("hs", i) | F.element_at("ts", i)))
     many = F.array(F.lit(1), *[F.lit(w) for w in WINDOWS])
 
     def useful(i, w):
-        part = F.slice("ls", i, w)
-        short = F.forall(part, lambda x: F.length(x) <= WRAP)
-        # windows begin and end with words
-        ends = F.element_at(part, 1).rlike("[A-Za-z0-9]") & F.element_at(part, -1).rlike("[A-Za-z0-9]")
-        return F.exists(F.slice("hs", i, w), lambda h: h) & ((w == 1) | ((i + w - 1 <= size) & short & ends))
+        # a window begins and ends with lines that hold a telling word, and has an anchor's stem
+        wrapped = (i + w - 1 <= size) & F.element_at("ts", i) & F.try_element_at("ts", i + w - 1) & F.exists(F.slice("hs", i, w), lambda h: h)
+        return F.when(w == 1, F.element_at("hs", i)).otherwise(wrapped & F.forall(F.slice("ls", i, w), lambda x: F.length(x) <= WRAP))
 
-    windows = split.select("p", "row", "all", "ls", "hs", start.alias("at")).select("*", F.explode(F.filter(many, lambda w: useful(F.col("at"), w))).alias("span"))
+    windows = split.select("p", "row", "all", "ls", "hs", "ts", start.alias("at")).select("*", F.explode(F.filter(many, lambda w: useful(F.col("at"), w))).alias("span"))
     part = F.slice("ls", F.col("at"), F.col("span"))
     counts = lambda a: F.transform(a, lambda x: F.regexp_count(x, word))
     units = windows.select("p", "row", "all", "at", F.array_join(part, " ").alias("line"), counts(part).alias("longs"), F.lit(False).alias("whole"))
     # a licence file is compared as a whole too
     units = units.union(split.where(named & (size > 1)).select("p", "row", "all", F.lit(1), F.array_join("ls", " "), counts(F.col("ls")), F.lit(True)))
     tokens = F.filter(F.transform(F.split(F.lower("line"), WORD_CUT), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
-    units = units.select("p", "row", "all", "at", "longs", "whole", F.xxhash64("p", "row", "at", "line", "whole").alias("id"), tokens.alias("ws"))
-    # the stems were found inside words: a unit without an anchor as a word cannot reach the threshold
-    lines = cut(units.where(F.col("whole") | F.arrays_overlap("ws", F.array(*[F.lit(w) for w in t.anchors]))))
+    units = units.select("p", "row", "all", "at", "longs", "whole", F.xxhash64("p", "row", "at", "line", "whole").alias("id"), F.explode(F.array(tokens)).alias("ws"))  # words are cut once
+    # a cosine is at most the norm of what the template shares with the unit: units without an anchor as a
+    # word (the stems were found inside words), or with too little of every template, cannot reach the threshold
+    shares = F.array(*[F.array(*[F.struct(F.lit(w).alias("w"), F.lit(x * x).alias("m")) for w, x in sorted(v.items())]) for _, _, v in t.vectors])
+    enough = lambda words: F.exists(F.array(words), lambda have: F.exists(shares, lambda v: F.aggregate(F.filter(v, lambda x: F.array_contains(have, x["w"])), F.lit(0.0), lambda m, x: m + x["m"]) >= (threshold - 1e-6) ** 2))
+    known = F.array(*[F.lit(w) for w in sorted({w for _, _, v in t.vectors for w in v})])
+    anchored = F.arrays_overlap("ws", F.array(*[F.lit(w) for w in t.anchors]))
+    lines = cut(units.where(F.col("whole") | (anchored & enough(F.array_intersect("ws", known)))))
     # bounded by the templates, so they may be broadcast
     idf = F.broadcast(spark.createDataFrame([(w, x) for w, x in sorted(t.idf.items())], "w string, idf double"))
     vectors = F.broadcast(spark.createDataFrame([(n, k, w, x) for n, k, v in t.vectors + t.whole for w, x in sorted(v.items())], "license string, template string, w string, v double"))
-    counts = lines.dropDuplicates(["id"]).select("id", F.explode("ws").alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("tf"))
+    # a row read twice doubles all counts of its units, which leaves their cosines as they are
+    counts = lines.select("id", F.explode("ws").alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("tf"))
     weighed = counts.join(idf, "w", "left").select("id", "w", (F.col("tf") * F.coalesce("idf", F.lit(t.other))).alias("x"))
     weighed = cut(weighed)
     whole = lines.where("whole").select("id").distinct().withColumn("whole", F.lit(True))
@@ -156,7 +164,7 @@ def direct_licenses(files: DataFrame, path: str = "path", text: str = "text", te
     scored = dots.join(norms, "id").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
     scored = scored.join(whole, "id", "left").where(F.col("whole") | ~F.col("template").contains("#whole"))
     best = scored.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "template", "license")).alias("b")).select("id", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.template").alias("template"))
-    found = cut(lines.select("p", "row", "at", "id", "all", "longs").dropDuplicates(["id"]).join(best, "id"))
+    found = cut(lines.select("p", "row", "at", "id", "all", "longs").join(best, "id").dropDuplicates(["id"]))
     # a line that stands in many matching windows counts once
     covered = found.select("p", "row", "at", F.posexplode("longs").alias("k", "long")).groupBy("p", "row", (F.col("at") + F.col("k")).alias("nth")).agg(F.max("long").alias("long"))
     matched = covered.groupBy("p").agg(F.sum("long").alias("matched"))
