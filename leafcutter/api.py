@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from .operators import txt
 from .operators.outline import BUILDERS, Chunk
 from .options import FAMILIES, FAMILY_OF, ChunkError, ChunkOptions, Unsupported, extension
-from .sources import csv, epub, html, ipynb, mail, markdown, xlsx
+from .sources import csv, epub, html, ipynb, mail, markdown, odf, xlsx
 from .sources import json as json_source
 from .sources.decode import decode_text
 
 #: Families that have a loader here.
-AVAILABLE = ("txt", "md", "html", "csv", "json", "ipynb", "epub", "eml", "xlsx")
+AVAILABLE = ("txt", "md", "html", "csv", "json", "ipynb", "epub", "eml", "xlsx", "odf")
 #: Modes and extensions of a family that have no builder or reader yet.
 MISSING_MODES = {"xlsx": ("semantic", "page_aware")}
 MISSING_EXTENSIONS = frozenset({"xls", "xlsb", "ods"})
@@ -47,7 +47,7 @@ def _bytes(data: bytes | str) -> bytes:
 
 
 def document_images(name: str, data: bytes | str) -> list[tuple[str, bytes]]:
-    """Images of notebooks, e-books and mail, the first of each name."""
+    """Images of notebooks, e-books, mail and OpenDocument files, the first of each name."""
     family = family_of(name)
     found: list[tuple[str, bytes]] = []
     if family == "ipynb":
@@ -56,6 +56,8 @@ def document_images(name: str, data: bytes | str) -> list[tuple[str, bytes]]:
         found = epub.load(_bytes(data)).images
     elif family == "eml":
         found = (mail.load_mailbox if extension(name) == "mbox" else mail.load)(_bytes(data)).images
+    elif family == "odf":
+        found = odf.load(_bytes(data), extension(name)).images
     return first_of_each(found)
 
 
@@ -77,6 +79,8 @@ def document_markdown(name: str, data: bytes | str, o: ChunkOptions | None = Non
         return epub.markdown(_bytes(data))
     if family == "eml":
         return mail.load_mailbox(_bytes(data)).markdown if extension(name) == "mbox" else mail.markdown(mail.load(_bytes(data)))
+    if family == "odf":
+        return odf.load(_bytes(data), extension(name)).markdown
     return markdown.front_matter_off(_text(data)) if family == "md" else _text(data)
 
 
@@ -117,6 +121,12 @@ def document_chunks(name: str, data: bytes | str, o: ChunkOptions) -> list[Chunk
         for c in made:
             c.metadata["document_metadata"] = nb.meta
         return made
+    if family == "odf":
+        doc = odf.load(_bytes(data), extension(name))
+        made = BUILDERS[o.mode](markdown.units(doc.markdown, front_matter=False), markdown.RULES, o)
+        for c in made:
+            c.metadata["document_metadata"] = doc.meta
+        return odf.stamp_slides(made) if extension(name) == "odp" else made
     if family == "html":
         return BUILDERS[o.mode](html.units(data), html.RULES, o)
     text = _text(data)

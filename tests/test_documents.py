@@ -6,8 +6,8 @@ import pytest
 
 from leafcutter import api
 from leafcutter.operators import txt
-from leafcutter.options import ChunkOptions, InvalidArg, Unsupported
-from leafcutter.sources import csv, epub, html, ipynb, markdown
+from leafcutter.options import ChunkOptions, InvalidArg, ParseError, Unsupported
+from leafcutter.sources import csv, epub, html, ipynb, markdown, odf
 from leafcutter.sources import json as js
 from leafcutter.sources.decode import decode_text
 
@@ -341,3 +341,50 @@ def test_spreadsheets():
     for name, mode in (("a.ods", "row"), ("a.xlsx", "semantic")):
         with pytest.raises(Unsupported):
             api.document_chunks(name, workbook(), ChunkOptions(mode=mode))
+
+
+def odf_file(kind: str, body: str, meta: str = "", **more) -> bytes:
+    import io
+    import zipfile
+
+    names = 'xmlns:office="o" xmlns:text="t" xmlns:table="b" xmlns:draw="d" xmlns:xlink="x" xmlns:style="s" xmlns:presentation="p"'
+    files = {"mimetype": f"application/vnd.oasis.{odf.KINDS[kind]}", "content.xml": f"<office:document-content {names}>{body}</office:document-content>", "meta.xml": meta} | more
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+TABLE = '<table:table><table:table-row><table:table-cell table:number-columns-repeated="2"><text:p>a|b</text:p></table:table-cell><table:table-cell/></table:table-row><table:table-row><table:table-cell/><table:table-cell><text:p>c</text:p><table:table><table:table-row><table:table-cell><text:p>x</text:p></table:table-cell><table:table-cell><text:p>y</text:p></table:table-cell></table:table-row></table:table></table:table-cell></table:table-row></table:table>'
+
+
+def test_odt():
+    styles = '<text:list-style style:name="L1"><text:list-level-style-number/></text:list-style><text:list-style style:name="L2"><text:list-level-style-bullet/></text:list-style>'
+    lists = '<text:list text:style-name="L1"><text:list-item><text:p>one</text:p><text:list><text:list-item><text:p>two</text:p></text:list-item></text:list></text:list-item></text:list><text:list text:style-name="L2"><text:list-item><text:p>dot</text:p></text:list-item></text:list>'
+    body = styles + '<text:h text:outline-level="2">Head &amp; tail</text:h><text:p>A <text:a xlink:href="http://u">link</text:a><text:s/>end<text:note><text:note-body><text:p>why</text:p></text:note-body></text:note>.</text:p>' + lists + TABLE + '<text:p><draw:frame draw:name="Pic"><draw:image xlink:href="Pictures/p.PNG"/></draw:frame>after</text:p><text:h>Last</text:h>'
+    data = odf_file("odt", body, "<m><dc:title>T &amp; U</dc:title></m>", **{"Pictures/p.PNG": "zz"})
+    image = odf.load(data, "odt").images
+    assert [raw for _, raw in image] == [b"zz"] and image[0][0].endswith(".png")
+    want = ["## Head & tail", "A [link](http://u) end.", "1. one", "  1. two", "- dot", "| a\\|b | a\\|b |  |\n| --- | --- | --- |\n|  | c x \\| y |  |", f"![Pic]({image[0][0]})", "after", "# Last", "## Notes", "1. why"]
+    assert api.document_markdown("a.odt", data).split("\n\n") == want
+    got = api.document_chunks("a.odt", data, ChunkOptions(mode="section"))
+    assert {tuple(c.metadata["document_metadata"].items()) for c in got} == {(("source_type", "odt"), ("title", "T & U"), ("creator", None))}
+    assert api.document_chunks("a.odt", odf_file("odt", ""), ChunkOptions()) == []
+
+
+def test_odp_slides_know_their_titles():
+    body = "".join(f"<draw:page><text:p>Title {i}</text:p><text:p>Body text of slide {i}.</text:p><presentation:notes><text:p>say {i}</text:p></presentation:notes></draw:page>" for i in (1, 2))
+    data = odf_file("odp", body)
+    assert api.document_markdown("a.odp", data) == "\n\n".join(f"## Slide {i}\n\nTitle {i}\n\nBody text of slide {i}.\n\n**Notes:** say {i}" for i in (1, 2))
+    for mode in ("structural", "section"):
+        got = api.document_chunks("a.odp", data, ChunkOptions(mode=mode))
+        assert {(c.metadata["slide_number"], (c.metadata["slide_title"] or "")[:7]) for c in got} == {(1, "Title 1"), (2, "Title 2")}, mode
+        assert got[0].metadata["document_metadata"]["slide_count"] == 2
+
+
+def test_odf_errors():
+    whole = odf_file("odt", "<text:p>x</text:p>")
+    for name, data in (("a.odt", b"junk"), ("a.odp", whole), ("a.odt", odf_file("odt", "<text:p>x")), ("a.odt", odf_file("odt", "<text:p/>", **{"META-INF/manifest.xml": "<manifest:encryption-data/>"}))):
+        with pytest.raises(ParseError):
+            api.document_chunks(name, data, ChunkOptions())
