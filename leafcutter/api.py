@@ -210,20 +210,24 @@ def images(docs: DataFrame, key: str = "doc_id", content: str = "content", name:
 
 
 def to_markdown(docs: DataFrame, content: str = "text", name: str | None = None, family: str | None = None, out: str = "markdown") -> DataFrame:
-    """``docs`` with each document's Markdown; null where it cannot be read."""
+    """``docs`` with each document's Markdown, ``error_kind`` and ``error_message``; Markdown is null
+    for a null document and where it cannot be read, and only then is there an error."""
     label = F.col(name) if name else F.lit("x." + FAMILIES[family or "txt"][0])
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("markdown string, error_kind string, error_message string")
     def convert(data, names):
         import pandas as pd
 
         def one(n, d):
             try:
-                return None if d is None else document_markdown(n, d)
-            except Exception:
-                return None
+                return (None if d is None else document_markdown(n or "", d)), None, None
+            except ChunkError as e:
+                return None, e.kind, str(e)
+            except Exception as e:
+                return None, "Parse", f"{type(e).__name__}: {e}"
 
-        return pd.Series([one(n, d) for n, d in zip(names, data, strict=True)])
+        return pd.DataFrame([one(n, d) for n, d in zip(names, data, strict=True)], columns=["markdown", "error_kind", "error_message"])
 
     convert.func.__annotations__ = {}
-    return docs.withColumn(out, convert(F.col(content), label))
+    rows = docs.withColumn(out, convert(F.col(content), label))
+    return rows.withColumns({"error_kind": F.col(f"`{out}`.error_kind"), "error_message": F.col(f"`{out}`.error_message"), out: F.col(f"`{out}`.markdown")})

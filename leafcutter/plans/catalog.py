@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -367,5 +371,102 @@ def csv_rows(spark, sf_dir):
     return api.chunk(docs, key="c_nationkey", name="name")
 
 
+# The next ones take the path of the API, from bytes to chunks, and compare the chunks themselves.
+
+
+def _contents(chunks: DataFrame, key: str) -> DataFrame:
+    return chunks.select(key, F.col("chunk_pos").cast("long").alias("chunk_pos"), "content", "content_type", "error_kind")
+
+
+@query("""
+WITH r AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n,
+                  concat('key: ', c_custkey, ' | customer name: ', c_name, ' | segment: ', c_mktsegment) AS line FROM customer)
+SELECT c_nationkey, n // 10 AS chunk_pos, string_agg(line, chr(10) ORDER BY n) AS content, 'row_group' AS content_type, CAST(NULL AS VARCHAR) AS error_kind
+FROM r GROUP BY ALL
+""")
+def csv_row_chunks(spark, sf_dir):
+    return _contents(csv_rows(spark, sf_dir), "c_nationkey")
+
+
+@query("""
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS chunk_pos,
+       concat('event_id: ', event_id, chr(10), 'event_type: ', event_type, chr(10), 'props: ', props) AS content, 'bullet_list' AS content_type, CAST(NULL AS VARCHAR) AS error_kind
+FROM events
+""")
+def jsonl_record_chunks(spark, sf_dir):
+    return _contents(json_records(spark, sf_dir), "user_id")
+
+
+@query("""
+WITH u AS (SELECT c_nationkey, unnest([2 * row_number() OVER w - 2, 2 * row_number() OVER w - 1]) AS n, unnest([c_mktsegment, 'Number ' || c_custkey || ' buys here.']) AS t, 2 * count(*) OVER (PARTITION BY c_nationkey) AS units
+           FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
+w AS (SELECT DISTINCT c_nationkey, unnest(range(CASE WHEN units <= 3 THEN 1 ELSE CAST(ceil((units - 3) / 2.0) AS BIGINT) + 1 END)) AS chunk_pos FROM u)
+SELECT w.c_nationkey, w.chunk_pos, string_agg(u.t, chr(10) || chr(10) ORDER BY u.n) AS content, 'sliding_window' AS content_type, CAST(NULL AS VARCHAR) AS error_kind
+FROM w JOIN u ON u.c_nationkey = w.c_nationkey AND u.n BETWEEN 2 * w.chunk_pos AND 2 * w.chunk_pos + 2 GROUP BY ALL
+""")
+def md_window_chunks(spark, sf_dir):
+    """A Markdown document for each nation, with a heading and a paragraph for each customer, in windows."""
+    c = read(spark, sf_dir, "customer", "c_nationkey", "c_custkey", "c_mktsegment")
+    part = F.concat(F.lit("## "), "c_mktsegment", F.lit("\n\nNumber "), F.col("c_custkey").cast("string"), F.lit(" buys here."))
+    docs = c.groupBy("c_nationkey").agg(R.ordered_text(F.col("c_custkey"), part, "\n\n").alias("text"))
+    return _contents(api.chunk(docs, key="c_nationkey", family="md", mode="sliding_window"), "c_nationkey")
+
+
+def _outline_mode(family: str, mode: str, size: str, glue: str, kind: str, head: str = "heading") -> None:
+    """Documents of 50 customers, a heading for each market segment and a paragraph for each customer under it."""
+    marks = {"html": ("<h2>", "</h2>", "<p>", "</p>", "\n")}.get(family, ("## ", "", "", "", "\n\n"))
+
+    def run(spark, sf_dir):
+        c = read(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").withColumn("k", F.floor(F.col("c_custkey") / 50))
+        part = F.concat(F.lit(marks[2] + "Number "), F.col("c_custkey").cast("string"), F.lit(" buys here." + marks[3]))
+        under = c.groupBy("k", "c_mktsegment").agg(R.ordered_text(F.col("c_custkey"), part, marks[4]).alias("body"))
+        docs = under.groupBy("k").agg(R.ordered_text(F.col("c_mktsegment"), F.concat(F.lit(marks[0]), "c_mktsegment", F.lit(marks[1] + marks[4]), "body"), marks[4]).alias("text"))
+        if family == "ipynb":  # one Markdown cell
+            docs = docs.select("k", F.to_json(F.struct(F.array(F.struct(F.lit("markdown").alias("cell_type"), F.col("text").alias("source"))).alias("cells"))).alias("text"))
+        return _contents(api.chunk(docs, key="k", family=family, mode=mode), "k")
+
+    run.__name__ = f"{family}_{mode}_chunks"
+    QUERIES[run.__name__] = run
+    SQL[run.__name__] = f"""
+WITH c AS (SELECT c_custkey // 50 AS k, c_mktsegment AS s, 'Number ' || c_custkey || ' buys here.' AS t, row_number() OVER (PARTITION BY c_custkey // 50, c_mktsegment ORDER BY c_custkey) - 1 AS n FROM customer),
+b AS (SELECT k, s, n // {size} AS part, string_agg(t, {glue} ORDER BY n) AS content FROM c GROUP BY ALL),
+a AS (SELECT k, s, part, content, {kind} AS content_type FROM b UNION ALL SELECT DISTINCT k, s, -1, s, '{head}' FROM c)
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY s, part) - 1 AS chunk_pos, content, content_type, CAST(NULL AS VARCHAR) AS error_kind FROM a
+"""
+
+
+_PROSE = "CASE WHEN strlen(content) > 900 THEN 'long_single_paragraph' WHEN strlen(content) < 90 THEN 'short_disconnected_paragraph' ELSE 'plain_paragraph' END"
+for _f in ("txt", "md", "html", "ipynb"):
+    _outline_mode(_f, "structural", "1000", "chr(10)", _PROSE)
+    _outline_mode(_f, "section", "1000", "chr(10) || chr(10)", "'section'")
+    _outline_mode(_f, "page_aware", "15", "chr(10) || chr(10)", "'page_aware'")
+    _outline_mode(_f, "sentence", "3", "' '", "'sentence'")
+
+
+@query("""
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM documents)
+SELECT doc_id, array_to_string(list_prepend('# Document ' || doc_id, lines), chr(10) || chr(10)) AS markdown FROM l
+""")
+def odt_markdown(spark, sf_dir):
+    """Documents written as OpenDocument files, a heading and a paragraph for each line, and read back."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+
+    def write(batches):
+        for b in batches:
+            files = [_odt(f"Document {k}", (t or "").split("\n")) for k, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(["x.odt"] * len(files)), pa.array(files, pa.binary())], names=["doc_id", "name", "content"])
+
+    return api.to_markdown(docs.mapInArrow(write, "doc_id long, name string, content binary"), content="content", name="name").select("doc_id", "markdown")
+
+
+def _odt(title: str, lines: list[str]) -> bytes:
+    body = "".join(f"<text:p>{escape(x)}</text:p>" for x in lines)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("mimetype", "application/vnd.oasis.opendocument.text")
+        z.writestr("content.xml", f'<office:document-content xmlns:office="o" xmlns:text="t"><text:h text:outline-level="1">{escape(title)}</text:h>{body}</office:document-content>')
+    return out.getvalue()
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["txt_structural"](spark, sf_dir)
