@@ -374,3 +374,65 @@ def test_pipeline_stages(spark, sf):
         docs = out
     assert 0 < docs.count() <= 3 * n and docs.where("n_tokens <> size(ids)").count() == 0
     assert docs.where(F.col("n_tokens") > 0).count() > 0
+
+
+def test_edit_distance_with_a_limit():
+    random.seed(9)
+    for _ in range(300):
+        a = "".join(random.choice("abc") for _ in range(random.randint(0, 90)))
+        b = "".join(random.choice("abc") for _ in range(random.randint(0, 90)))
+        n, limit = line_dedup.edit_distance(a, b), random.randint(0, 60)
+        assert line_dedup.edit_distance(a, b, limit) == min(n, limit + 1)
+        assert line_dedup.similar(a, b, 0.6) == (n <= math.floor(0.4 * max(len(a), len(b)) + 1e-9))
+
+
+def test_nearest_forest_joins_what_is_close():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.1, 30) for c in (0, 5, 9)])
+    a, b = map(np.array, zip(*[(i, j) for i in range(90) for j in range(i)], strict=True))
+    d = np.abs(x[a] - x[b])
+    at = common.nearest_forest(90, a, b, d)
+    assert len(at) == 89 and len(set(common.local_roots(90, a[at], b[at]).tolist())) == 1
+    near = at[d[at] < 2]  # inside the clusters, each joined by its own links
+    assert len(set(common.local_roots(90, a[near], b[near]).tolist())) == 3
+    assert not len(common.nearest_forest(3, a[:0], b[:0], d[:0]))
+
+
+def test_filter_lets_all_wanted_through(spark):
+    rng = np.random.default_rng(5)
+    wanted, other = rng.integers(-(2**63), 2**63, 500), rng.integers(-(2**63), 2**63, 2000)
+    bits = common.filter_of(spark.createDataFrame([(int(x),) for x in wanted], "h long"), "h").value
+    assert common.passes(bits, wanted).all() and common.passes(bits, other).mean() < 0.01
+    assert not common.passes(common.filter_of(spark.createDataFrame([], "h long"), "h").value, wanted).any()
+
+
+def test_hot_keys_meet_all_the_same(spark, monkeypatch):
+    pairs = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(20)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    want = sorted(map(tuple, common.connected_components(edges).distinct().collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_SHARE", 0.2)
+    assert sorted(map(tuple, common.connected_components(edges).distinct().collect())) == want
+
+
+CLASHES = ["Score", "_declared", "_up", "license", "status", "_js", "_j1", "_j2", "_k2", "_t2", "_wk", "_wt", "_th", "_lost", "_node", "_dir", "_path", "_key2"]
+
+
+def test_extra_columns_of_any_name(spark):
+    from leafcutter.llm import mixing
+
+    df = spark.createDataFrame([(1, "a b c\nsame line here", "s", "d/LICENSE"), (2, "same line here", None, "d/x"), (None, None, "s", None)], "doc_id long, text string, source string, path string")
+    wide = df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)])
+    assert [r.text for r in line_dedup.dedup_lines(wide, bits=None).orderBy("doc_id").collect()] == [None, "a b c\nsame line here", ""]
+    for got in (line_dedup.dedup_lines(wide), simhash.keep_one_per_group(wide), mixing.mix(wide)):
+        assert got.columns == wide.columns and got.count() >= 2
+    scanned = licenses.scan_licenses(wide)
+    assert len({c.lower() for c in scanned.columns}) == len(scanned.columns) and scanned.count() == 3
+    assert mixing.mix_plan(wide, size=mixing.n_words(F.col("text"))).count() == 3
+
+
+def test_license_words_of_all_rows_of_a_path(spark):
+    line = "Licensed under the Apache License, Version 2.0."
+    rows = [("d/a", line), ("d/a", "word " * 500), ("d/a", "word " * 500), ("d/b", "nothing"), ("e/a", line), ("e/a", line), ("e/b", "nothing")]
+    got = {r.path: (r.license, r.status) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"d/a": ("Apache-2.0", "direct"), "d/b": (None, "none"), "e/a": ("Apache-2.0", "direct"), "e/b": ("Apache-2.0", "inherited")}
