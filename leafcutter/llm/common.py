@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Members of one tile when a large candidate group is cut for verification.
-TILE = 500
+#: Members of one tile when a large candidate group is cut for verification, failures of a member after which its
+#: other pairs wait, and pairs checked in one turn.
+TILE, FIRST, TURN = 500, 2, 1024
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -314,7 +315,7 @@ def tile_groups(members: DataFrame, group: str, node: str) -> DataFrame:
     return m.withColumn("tile_a", F.least("_t", "_o")).withColumn("tile_b", F.greatest("_t", "_o")).drop("_n", "_o")
 
 
-def verify_groups(tiled: DataFrame, group: str, node: str, fp: str, tau: int, prepare: Callable, linked: Callable, screen: Callable | None = None) -> DataFrame:
+def verify_groups(tiled: DataFrame, group: str, node: str, fp: str, tau: int, prepare: Callable, linked: Callable, screen: Callable | None = None, many: Callable | None = None) -> DataFrame:
     """Verified links ``(a, b)`` between nodes of the same group, as stars.
 
     ``tiled``: rows of ``tile_groups`` with group, node, fp (all long) and payload columns. Pairs whose
@@ -323,9 +324,23 @@ def verify_groups(tiled: DataFrame, group: str, node: str, fp: str, tau: int, pr
     ones are worth it. Pairs that are already connected inside the tile need no
     check, so a group of thousands of copies costs about one check for each member; all other
     pairs are checked, so no link that matters for the components is lost.
+    With ``many(items, left, right)``, ``linked`` for arrays of places, pairs beyond a member's first failures wait
+    for a turn of ``TURN`` pairs, and those that are connected by then go unchecked.
     """
     keys = [group, "tile_a", "tile_b"]
 
+    def settle(items: list, forest: Forest, waiting: list) -> None:
+        left, right = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        waiting.clear()
+        while len(left):
+            root = np.array([forest.find(x) for x in range(len(items))])
+            apart = root[left] != root[right]
+            left, right = left[apart], right[apart]
+            hit = many(items, left[:TURN], right[:TURN])
+            for x, y in zip(left[:TURN][hit].tolist(), right[:TURN][hit].tolist(), strict=True):
+                forest.join(x, y)
+            left, right = left[TURN:], right[TURN:]
+
     def work(t: pa.Table) -> pa.RecordBatch | None:
         starts = [*group_starts(t, keys).tolist(), t.num_rows]
         out_a, out_b = [], []
@@ -334,13 +349,28 @@ def verify_groups(tiled: DataFrame, group: str, node: str, fp: str, tau: int, pr
             ids, bits = part.column(node).to_pylist(), part.column(fp).to_numpy().view(np.uint64)
             items, forest = prepare(part), Forest(len(ids))
             worth = screen(part) if screen else None
+            waiting, held = [], 0
             for i in range(1, len(ids)):
                 far = np.bitwise_count(bits[:i] ^ bits[i])
                 near = np.flatnonzero((far <= tau) & worth(i) if worth else far <= tau)
                 # the closest first, and of these the latest: copies of a copy are often closest to it
-                for j in near[::-1][np.argsort(far[near[::-1]], kind="stable")].tolist():
-                    if forest.find(i) != forest.find(j) and linked(items[i], items[j]):
-                        forest.join(i, j)
+                near = near[::-1][np.argsort(far[near[::-1]], kind="stable")]
+                failed = 0
+                for k, j in enumerate(near.tolist()):
+                    if forest.find(i) != forest.find(j):
+                        if failed == FIRST and many:
+                            waiting.append((np.full(len(near) - k, i), near[k:]))
+                            held += len(near) - k
+                            break
+                        if linked(items[i], items[j]):
+                            forest.join(i, j)
+                        else:
+                            failed += 1
+                if held >= 4 * TURN:
+                    settle(items, forest, waiting)
+                    held = 0
+            if waiting:
+                settle(items, forest, waiting)
             for i in range(len(ids)):
                 r = forest.find(i)
                 if r != i:

@@ -436,3 +436,35 @@ def test_license_words_of_all_rows_of_a_path(spark):
     rows = [("d/a", line), ("d/a", "word " * 500), ("d/a", "word " * 500), ("d/b", "nothing"), ("e/a", line), ("e/a", line), ("e/b", "nothing")]
     got = {r.path: (r.license, r.status) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {"d/a": ("Apache-2.0", "direct"), "d/b": (None, "none"), "e/a": ("Apache-2.0", "direct"), "e/b": ("Apache-2.0", "inherited")}
+
+
+def test_many_distances_at_once():
+    rng = random.Random(8)
+
+    def edited(x, k, letters):
+        x = list(x)
+        for _ in range(k):
+            p = rng.randrange(len(x) + 1)
+            x[p : p + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+        return "".join(x)
+
+    for letters, length in [("ab", 0), ("ab", 63), ("abcdefgh ", 64), ("aé漢\U0001f600 bcd", 65), ("abcdefgh ", 700), ("abc ", line_dedup.MANY_LENGTH + 5)]:
+        base = ["".join(rng.choice(letters) for _ in range(length)) for _ in range(3)]
+        lines = base + [edited(b, int(length * f), letters) for b in base for f in (0, 0.1, 0.2, 0.3, 0.4)]
+        left, right = (np.array(x) for x in zip(*[(i, j) for i in range(len(lines)) for j in range(i)], strict=True))
+        want = [line_dedup.similar(lines[i], lines[j]) for i, j in zip(left, right, strict=True)]
+        assert line_dedup.similar_many(lines, left, right).tolist() == want
+
+
+def test_waiting_pairs_are_all_checked(spark, monkeypatch):
+    # unlike members first, so that the links of a member come after its failures
+    monkeypatch.setattr(common, "TURN", 3)
+    rows = [(1, i, 0, f"{i % 4}") for i in range(60)]
+    tiled = common.tile_groups(spark.createDataFrame(rows, "grp long, id long, fp long, item string"), "grp", "id")
+
+    def many(items, left, right):
+        return np.array([items[i] == items[j] for i, j in zip(left, right, strict=True)], dtype=bool)
+
+    got = common.verify_groups(tiled, "grp", "id", "fp", 0, lambda t: t.column("item").to_pylist(), lambda x, y: x == y, None, many)
+    roots = dict(common.connected_components(got).distinct().collect())
+    assert [roots.get(i, i) for i in range(60)] == [i % 4 for i in range(60)]
