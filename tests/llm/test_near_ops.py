@@ -468,3 +468,51 @@ def test_waiting_pairs_are_all_checked(spark, monkeypatch):
     got = common.verify_groups(tiled, "grp", "id", "fp", 0, lambda t: t.column("item").to_pylist(), lambda x, y: x == y, None, many)
     roots = dict(common.connected_components(got).distinct().collect())
     assert [roots.get(i, i) for i in range(60)] == [i % 4 for i in range(60)]
+
+
+def test_settled_checks_few_pairs_of_a_group_and_all_between_groups():
+    # 200 items of two groups: a chain of links is enough inside, every pair between them is looked at
+    items = [k % 2 for k in range(200)]
+    left, right = (np.array(x) for x in zip(*[(i, j) for i in range(200) for j in range(i)], strict=True))
+    seen = []
+
+    def many(x, a, b):
+        seen.extend(zip(a.tolist(), b.tolist(), strict=True))
+        return np.array([x[i] == x[j] for i, j in zip(a, b, strict=True)], dtype=bool)
+
+    assert common.settled(items, left, right, np.abs(left - right), many).tolist() == items
+    assert len(seen) == len(set(seen)) and sum(items[i] == items[j] for i, j in seen) < 2 * 200
+    assert sum(items[i] != items[j] for i, j in seen) == 100 * 100
+    seen.clear()
+    assert common.settled(items, left, right, np.abs(left - right), many, np.array(items)).tolist() == items
+    assert len(seen) == 100 * 100 and all(items[i] != items[j] for i, j in seen)
+
+
+def test_few_links_are_connected_without_a_shuffle(spark):
+    edges = common.cut(spark.createDataFrame([(k, k + 1) for k in range(500)] + [(900, 901), (5, None)], "a long, b long"))
+    got = common.connected_components(edges)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(k, 0) for k in range(501)] + [(900, 900), (901, 900)]
+
+
+def test_large_groups_of_lines_meet_only_where_something_is_open(spark, monkeypatch):
+    random.seed(12)
+    words = ["".join(random.choice("abcdefghijklm") for _ in range(random.randint(3, 8))) for _ in range(400)]
+    bases = [[random.choice(words) for _ in range(30)] for _ in range(3)]
+    lines = []
+    for base in bases:
+        other = base[:15] + [random.choice(words) for _ in range(15)]
+        lines += [" ".join(w if random.random() > 0.04 else random.choice(words) for w in random.choice([base, other])) for _ in range(60)]
+    df = spark.createDataFrame([*enumerate(lines)], "doc_id long, text string")
+    want = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, bits=None).collect()}
+    dealt, across = [], line_dedup.across_tiles
+
+    def counted(*args):
+        dealt.append((args[0].count(), across(*args).count()))
+        return across(*args)
+
+    monkeypatch.setattr(line_dedup, "across_tiles", counted)
+    monkeypatch.setattr(common, "TILE", 4)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, bits=None).collect()} == want
+    # before, each member met all of its group's tiles with its text
+    assert all(n < members * 4 for members, n in dealt) and len(dealt) == 1
