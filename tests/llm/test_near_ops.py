@@ -516,3 +516,70 @@ def test_large_groups_of_lines_meet_only_where_something_is_open(spark, monkeypa
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, bits=None).collect()} == want
     # before, each member met all of its group's tiles with its text
     assert all(n < members * 4 for members, n in dealt) and len(dealt) == 1
+
+
+def test_candidates_of_lines_are_the_same_in_any_order(spark, monkeypatch):
+    """Ties between pairs of a bucket were decided by the order in which rows arrived."""
+    random.seed(8)
+    rows = [(b, n, random.choice([7, 8, 11, 1 << 40, -1])) for b in range(40) for n in random.sample(range(1000), random.choice([1, 2, 5, 90]))]
+    rows += [(99, n, 5) for n in range(300)]
+    got = []
+    for most in (simhash.MOST, 150):
+        monkeypatch.setattr(simhash, "MOST", most)
+        for _ in range(2):
+            random.shuffle(rows)
+            parts = [np.array(rows[k : k + 50], dtype=np.int64) for k in range(0, len(rows), 50)]
+            batches = [b for p in parts for b in simhash.packed([p], 3)]
+            df = spark.createDataFrame([(r["share"], r["rows"]) for b in batches for r in b.to_pylist()], "share int, rows binary")
+            found = [(r.a, r.b) for r in simhash.links_in_packed(df, 3, 200).collect()]
+            assert [a for a, b in found if b is None] == [99]
+            got.append(sorted(x for x in found if x[1] is not None))
+    assert got[0] == got[1] == got[2] == got[3]
+    keyed = spark.createDataFrame([(b, 0, n, fp) for b, n, fp in rows if b != 99], "bucket long, part int, node long, fp long")
+    want = [(r.a, r.b) for r in simhash.links_in_buckets(keyed, 3, None, True).collect()]
+    assert len(got[0]) == len(want)
+    assert components(1000, got[0]) == components(1000, want)
+
+
+def test_lines_normalised_with_and_without_words(spark):
+    texts = ["A b\nC", None, "", " a", "a ", "a  b", "a\n\nb", "\n", "a \nb", "a\n b", "x\ty\r", "é È", "漢 字 x", "a", " ", "b\n"]
+    for part in (pa.array(texts), pa.array(texts).slice(3), pa.array(texts[:1]), pa.array(texts[3:4])):
+        row, nth, lines = line_dedup.normal_lines(part)
+        want = {(r, k): line_dedup.normalise(x) for r, t in enumerate(part.to_pylist()) for k, x in enumerate((t or "").split("\n"))}
+        assert dict(zip(zip(row.tolist(), nth.tolist(), strict=True), lines.to_pylist(), strict=True)) == want
+
+
+def test_distances_look_at_a_window_only():
+    """A column had a bit for each character of a line, and pairs of one batch of rows only were decided together."""
+    random.seed(4)
+    base = ["".join(random.choice("abcdefgh ") for _ in range(n)) for n in (90, 400, 1500)]
+    lines = [x for b in base for x in (b, b[5:] + b[:5], b[len(b) // 6 :], b[: len(b) * 9 // 10], b[len(b) // 9 :] + b[: len(b) // 9], b[::-1])]
+    left, right = (np.array(x) for x in zip(*[(i, j) for i in range(len(lines)) for j in range(i)], strict=True))
+    for similarity in (0.6, 0.8, 0.95):
+        want = [line_dedup.edit_distance(lines[i], lines[j]) <= math.floor((1 - similarity) * max(len(lines[i]), len(lines[j])) + 1e-9) for i, j in zip(left, right, strict=True)]
+        assert line_dedup.similar_many(lines, left, right, similarity).tolist() == want
+    tables = [pa.table({"x": [k] * 5}) for k in range(7)]
+    assert [t.num_rows for t in common.gathered(iter(tables), 12)] == [15, 15, 5]
+    assert [t.num_rows for t in common.gathered(iter(tables), 0)] == [5] * 7
+
+
+def test_digits_keep_every_pair_with_enough_equal_minima(spark):
+    """Candidates without enough minima in common went through two joins before they were dropped."""
+    rng = np.random.default_rng(9)
+    n, width = line_dedup.KEYS * line_dedup.ROWS, 8 + line_dedup.KEYS * line_dedup.ROWS * line_dedup.WIDTH
+    marks = rng.integers(0, 256, (60, width), dtype=np.uint8)
+    marks[:, :8] = 0  # all within the SimHash's distance
+    for k in range(1, 60):  # each takes over some minima of the one before
+        for at in rng.choice(n, k % (n + 1), replace=False):
+            place = slice(8 + line_dedup.WIDTH * at, 8 + line_dedup.WIDTH * (at + 1))
+            marks[k, place] = marks[k - 1, place]
+    b = pa.RecordBatch.from_arrays([pa.array([m.tobytes() for m in marks], pa.binary())], ["mark"])
+    digits, low = line_dedup._digits(b), line_dedup.minima(pa.chunked_array([b.column(0)]))
+    left, right = np.triu_indices(60, 1)
+    equal = (low[left] == low[right]).sum(axis=1)
+    found = simhash.equal_digits(digits[left], digits[right], n)
+    assert (found >= equal).all() and (found < line_dedup.AGREE)[equal == 0].mean() > 0.9
+    rows = np.stack([np.zeros(60, dtype=np.int64), np.arange(60), np.zeros(60, dtype=np.int64), digits], axis=1)
+    got = spark.createDataFrame([(r["share"], r["rows"]) for p in simhash.packed([rows], 2) for r in p.to_pylist()], "share int, rows binary")
+    kept, whole = ({(r.a, r.b) for r in simhash.links_in_packed(got, 3, 200, x).collect()} for x in ((n, line_dedup.AGREE), (n, 0)))
+    assert kept == {(x, y) for x, y in whole if simhash.equal_digits(digits[[x]], digits[[y]], n)[0] >= line_dedup.AGREE} and len(kept) < len(whole) == 59
